@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,25 +13,25 @@ from vouchsafe.functions.text import strip
 from vouchsafe.settings import SCHEMA_VERSION
 
 
-def _weighted(c: Column, weights: Sequence[int]) -> Column:
-    total = F.lit(0)
-    for place, weight in enumerate(weights, start=1):
-        total = total + (F.ascii(F.substring(c, place, 1)) - 48) * weight
-    return total % 11 % 10
+def _digit(text: str, place: int) -> str:
+    return f"(ascii(substr({text}, {place}, 1)) - 48)"
 
 
-def _digit(c: Column, place: int) -> Column:
-    return F.ascii(F.substring(c, place, 1)) - 48
+def _weighted(text: str, weights: Sequence[int]) -> str:
+    terms = " + ".join(f"{w} * {_digit(text, i)}" for i, w in enumerate(weights, start=1))
+    return f"({terms}) % 11 % 10"
 
 
-def inn_valid(c: Column) -> Column:
-    """Tax-number checksum for 10 and 12 digits; anything else is false, null stays null."""
-    ten = _weighted(c, fv.INN10_WEIGHTS) == _digit(c, 10)
+def inn_valid(text: str) -> Column:
+    """Tax-number checksum for 10 and 12 digits of a column (or SQL text); else false, null stays null."""
+    ten = f"{_weighted(text, fv.INN10_WEIGHTS)} = {_digit(text, 10)}"
     twelve = (
-        (_weighted(c, fv.INN12_FIRST_WEIGHTS) == _digit(c, 11))
-        & (_weighted(c, fv.INN12_SECOND_WEIGHTS) == _digit(c, 12))
+        f"{_weighted(text, fv.INN12_FIRST_WEIGHTS)} = {_digit(text, 11)}"
+        f" AND {_weighted(text, fv.INN12_SECOND_WEIGHTS)} = {_digit(text, 12)}"
     )
-    return F.when(c.rlike("^[0-9]{10}$"), ten).when(c.rlike("^[0-9]{12}$"), twelve).when(c.isNotNull(), F.lit(False))
+    return F.expr(
+        f"CASE WHEN {text} RLIKE '^[0-9]{{10}}$' THEN {ten} WHEN {text} RLIKE '^[0-9]{{12}}$' THEN {twelve} "
+        f"WHEN {text} IS NOT NULL THEN false END")
 
 
 def fix_kpp(c: Column) -> Column:
@@ -39,8 +39,17 @@ def fix_kpp(c: Column) -> Column:
     return F.when(c.rlike("^([0-9]{13}|[0-9]{15})$"), F.lit(None).cast("string")).otherwise(c)
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(entries: Mapping[str, str]) -> Column:
+    """A small fixed table as a map literal: looking it up needs no join."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in entries.items()) + ")")
+
+
 def normalize_currency(c: Column) -> Column:
-    aliases = F.create_map(*[F.lit(x) for pair in fv.CURRENCY_ALIASES.items() for x in pair])
+    aliases = literal_map(fv.CURRENCY_ALIASES)
     return F.upper(F.coalesce(F.try_element_at(aliases, F.lower(strip(c))), c))
 
 
@@ -78,5 +87,4 @@ def object_key(sha256: Column, name: Column) -> Column:
 
 
 def content_type_of(name: Column) -> Column:
-    types = F.create_map(*[F.lit(x) for pair in fv.SUFFIX_TYPES.items() for x in pair])
-    return F.try_element_at(types, file_suffix(name))
+    return F.try_element_at(literal_map(fv.SUFFIX_TYPES), file_suffix(name))

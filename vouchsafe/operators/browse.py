@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe import fixed_values as fv
+from vouchsafe.functions.identifiers import literal_map
 from vouchsafe.functions.numbers import dec
 from vouchsafe.operators.rows import rows_of
 
@@ -110,7 +111,7 @@ def check_integrity(docs: DataFrame, extractions: DataFrame, tasks: DataFrame) -
 
 
 def type_label(code: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in fv.TYPE_LABELS.items() for x in pair])
+    labels = literal_map(fv.TYPE_LABELS)
     return F.coalesce(F.try_element_at(labels, code), code)
 
 

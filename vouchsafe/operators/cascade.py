@@ -95,7 +95,7 @@ def overlay_corrections(nested: DataFrame, corrections: DataFrame) -> DataFrame:
 def corrected_documents(nested: DataFrame, corrections: DataFrame) -> DataFrame:
     """Nested documents after the overlay; those that no longer validate are left out."""
     valid = overlay_corrections(nested, corrections).where(F.size("errors") == 0)
-    return valid.select("doc_id", *document_columns(F.col("fields")))
+    return valid.select("doc_id", *document_columns())
 
 
 def field_provenance(nested: DataFrame, marked: DataFrame, cheap: str, costly: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe import fixed_values as fv
+from vouchsafe.functions.identifiers import literal_map
 from vouchsafe.functions.numbers import amount_in_words, dec, russian_date
 from vouchsafe.operators.guardrails import rule_label
 from vouchsafe.operators.rows import rows_of
@@ -14,7 +15,7 @@ MONEY = "decimal(18,2)"
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def completed(docs: DataFrame) -> DataFrame:

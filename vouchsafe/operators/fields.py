@@ -20,13 +20,12 @@ N_SCALARS = len(SCALAR_TYPES)
 N_LINE = len(LINE_TYPES)
 
 
-def _flat(order: Column, path: Column, field: Column) -> Column:
-    return F.struct(
-        order.cast("int").alias("ord"),
-        path.alias("path"),
-        field["value"].cast("string").alias("value"),
-        field["confidence"].alias("confidence"),
-        field["sources"].alias("sources"),
+# These expressions repeat one shape for every field, so they are written as SQL text: the plan is the
+# same as with column objects, but building it takes one call instead of hundreds.
+def _flat(order: str, path: str, field: str) -> str:
+    return (
+        f"named_struct('ord', CAST({order} AS INT), 'path', {path}, 'value', CAST({field}.value AS STRING), "
+        f"'confidence', {field}.confidence, 'sources', {field}.sources)"
     )
 
 
@@ -36,32 +35,20 @@ def scalar_pointer(path: str) -> str:
 
 def field_array(doc: str | None = None, *, lines: bool = True, subtypes: bool = False) -> Column:
     """All fields of the document row (or of struct column ``doc``) in document order."""
-
-    def member(path: str) -> Column:
-        return F.col(f"{doc}.{path}" if doc else path)
-
-    scalars = [
-        _flat(F.lit(i), F.lit(scalar_pointer(p)), member(p)) for i, p in enumerate(SCALAR_TYPES)
-    ]
+    base = f"{doc}." if doc else ""
+    scalars = [_flat(str(i), f"'{scalar_pointer(p)}'", base + p) for i, p in enumerate(SCALAR_TYPES)]
     if subtypes:
         extra = [n for group in SUBTYPE_FIELDS.values() for n in group]
-        scalars += [_flat(F.lit(-len(extra) + i), F.lit("/" + n), member(n)) for i, n in enumerate(extra)]
-    head = F.array(*scalars)
+        scalars += [_flat(str(i - len(extra)), f"'/{n}'", base + n) for i, n in enumerate(extra)]
+    head = f"array({', '.join(scalars)})"
     if not lines:
-        return head
-
-    def line(item: Column, index: Column) -> Column:
-        return F.array(*[
-            _flat(
-                F.lit(N_SCALARS + k) + index * N_LINE,
-                F.concat(F.lit("/line_items/"), index.cast("string"), F.lit("/" + name)),
-                item[name],
-            )
-            for k, name in enumerate(LINE_TYPES)
-        ])
-
-    tail = F.flatten(F.transform(member("line_items"), line))
-    return F.concat(head, F.coalesce(tail, F.array().cast(T.ArrayType(FLAT_FIELD))))
+        return F.expr(head)
+    members = ", ".join(
+        _flat(f"{N_SCALARS + k} + i * {N_LINE}", f"concat('/line_items/', i, '/{name}')", f"x.{name}")
+        for k, name in enumerate(LINE_TYPES)
+    )
+    tail = f"flatten(transform({base}line_items, (x, i) -> array({members})))"
+    return F.expr(f"concat({head}, coalesce({tail}, CAST(array() AS ARRAY<{FLAT_FIELD.simpleString()}>)))")
 
 
 def with_fields(docs: DataFrame, **kwargs: bool) -> DataFrame:
@@ -102,46 +89,39 @@ def canonicalize_missing(fields: DataFrame) -> DataFrame:
     )
 
 
-def _typed(field: Column, value_type: T.DataType) -> Column:
-    value = field["value"]
+def _typed(field: str, value_type: T.DataType) -> str:
+    value = f"{field}.value"
     if not isinstance(value_type, T.StringType):
-        value = value.try_cast(value_type)
-    return F.struct(
-        value.alias("value"), field["confidence"].alias("confidence"), field["sources"].alias("sources"),
-    )
+        value = f"try_cast({value} AS {value_type.simpleString()})"
+    return f"named_struct('value', {value}, 'confidence', {field}.confidence, 'sources', {field}.sources)"
 
 
-def document_columns(fields: Column) -> list[Column]:
+def document_columns(fields: str = "fields") -> list[Column]:
     """Nested document columns from the ordered field list (scalars first, seven per line)."""
     place = {p: i for i, p in enumerate(SCALAR_TYPES)}
 
-    def scalar(path: str) -> Column:
-        return _typed(F.get(fields, F.lit(place[path])), SCALAR_TYPES[path])
+    def scalar(path: str) -> str:
+        return _typed(f"get({fields}, {place[path]})", SCALAR_TYPES[path])
 
-    columns = []
-    for name in ("document_type", "number", "date"):
-        columns.append(scalar(name).alias(name))
+    columns = [F.expr(scalar(name)).alias(name) for name in ("document_type", "number", "date")]
     for party in PARTIES:
-        columns.append(F.struct(*[scalar(f"{party}.{f}").alias(f) for f in PARTY_FIELDS]).alias(party))
-    for name in ("total_amount", "vat_amount", "currency"):
-        columns.append(scalar(name).alias(name))
-    count = ((F.size(fields) - N_SCALARS) / N_LINE).cast("int")
-
-    def line(index: Column) -> Column:
-        return F.struct(*[
-            _typed(F.get(fields, index * N_LINE + (N_SCALARS + k)), t).alias(n)
-            for k, (n, t) in enumerate(LINE_TYPES.items())
-        ])
-
+        members = ", ".join(f"'{f}', {scalar(f'{party}.{f}')}" for f in PARTY_FIELDS)
+        columns.append(F.expr(f"named_struct({members})").alias(party))
+    columns += [F.expr(scalar(name)).alias(name) for name in ("total_amount", "vat_amount", "currency")]
+    members = ", ".join(
+        f"'{n}', " + _typed(f"get({fields}, i * {N_LINE} + {N_SCALARS + k})", t)
+        for k, (n, t) in enumerate(LINE_TYPES.items())
+    )
+    count = f"CAST((size({fields}) - {N_SCALARS}) / {N_LINE} AS INT)"
     # drop the running number past the end instead of branching on empty documents
-    numbers = F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda i: i < count)
-    columns.append(F.transform(numbers, line).alias("line_items"))
+    numbers = f"filter(sequence(0, greatest({count}, 0)), i -> i < {count})"
+    columns.append(F.expr(f"transform({numbers}, i -> named_struct({members}))").alias("line_items"))
     return columns
 
 
 def rebuild_documents(nested: DataFrame) -> DataFrame:
     """Inverse of ``with_fields``: (doc_id, fields) -> typed nested document."""
-    return nested.select("doc_id", *document_columns(F.col("fields")))
+    return nested.select("doc_id", *document_columns())
 
 
 def path_errors(path: Column) -> Column:

@@ -16,9 +16,9 @@ from vouchsafe import fixed_values as fv
 from vouchsafe.functions.identifiers import inn_valid
 from vouchsafe.functions.numbers import dec, half_even, rate_percent, rounding_tolerance
 from vouchsafe.functions.text import party_key
-from vouchsafe.operators.fields import field_array
+from vouchsafe.operators.fields import scalar_pointer
 from vouchsafe.operators.rows import rows_of
-from vouchsafe.schemas import VIOLATION
+from vouchsafe.schemas import LINE_TYPES, PARTIES, SCALAR_TYPES, VIOLATION
 from vouchsafe.settings import GuardrailSettings
 
 Rule = Callable[[GuardrailSettings], Column]
@@ -133,13 +133,13 @@ def vat_rule(settings: GuardrailSettings) -> Column:
 
 
 def inn_rule(settings: GuardrailSettings) -> Column:
-    checks = []
-    for party in ("supplier", "buyer"):
-        inn = F.col(f"{party}.inn.value")
-        checks.append(_only_if(
-            ~inn_valid(inn),
-            _violation("invalid_inn", F.lit(f"/{party}/inn"), F.lit(fv.MESSAGE_INN), F.lit(None), inn),
-        ))
+    checks = [
+        _only_if(
+            ~inn_valid(f"{party}.inn.value"),
+            _violation("invalid_inn", F.lit(f"/{party}/inn"), F.lit(fv.MESSAGE_INN), F.lit(None), F.col(f"{party}.inn.value")),
+        )
+        for party in PARTIES
+    ]
     return F.concat(*checks)
 
 
@@ -171,12 +171,21 @@ def date_rule(settings: GuardrailSettings) -> Column:
 
 
 def confidence_rule(settings: GuardrailSettings) -> Column:
+    """Filled fields below the threshold; the violation is only built for the few that are."""
     threshold = settings.confidence_threshold
-    weak = F.filter(field_array(), lambda f: f["value"].isNotNull() & (f["confidence"] < threshold))
-    return F.transform(weak, lambda f: _violation(
-        "low_confidence", f["path"], F.lit(f"{fv.MESSAGE_CONFIDENCE}{threshold:.2f}"),
-        F.lit(threshold), f["confidence"],
-    ))
+
+    def weak(field: str, path: str) -> str:
+        return (
+            f"CASE WHEN {field}.value IS NOT NULL AND {field}.confidence < {threshold}D THEN named_struct("
+            f"'rule', 'low_confidence', 'field_path', {path}, 'message', '{fv.MESSAGE_CONFIDENCE}{threshold:.2f}', "
+            f"'expected', CAST({threshold}D AS STRING), 'actual', CAST({field}.confidence AS STRING)) END"
+        )
+
+    scalars = ", ".join(weak(p, f"'{scalar_pointer(p)}'") for p in SCALAR_TYPES)
+    members = ", ".join(weak(f"x.{n}", f"concat('/line_items/', i, '/{n}')") for n in LINE_TYPES)
+    lines = f"flatten(transform(line_items, (x, i) -> array_compact(array({members}))))"
+    return F.expr(
+        f"concat(array_compact(array({scalars})), coalesce({lines}, CAST(array() AS {VIOLATIONS.simpleString()})))")
 
 
 # evaluation order of the built-in set; callers may pass their own

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe import fixed_values as fv
+from vouchsafe.functions.identifiers import literal_map
 from vouchsafe.functions.text import coerce_correction
 from vouchsafe.operators.fields import canonical_path, overlay_values
 from vouchsafe.operators.rows import rows_of
@@ -206,7 +207,7 @@ def complete_review(
 
 
 def field_label(pointer: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in fv.FIELD_LABELS.items() for x in pair])
+    labels = literal_map(fv.FIELD_LABELS)
     path = F.regexp_replace(pointer, "^/", "")
     return F.coalesce(F.try_element_at(labels, path), path)
 

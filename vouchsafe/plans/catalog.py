@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vouchsafe.plans import guardrail_queries  # noqa: F401
+from vouchsafe.plans import guardrail_queries, validation_queries  # noqa: F401
 from vouchsafe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

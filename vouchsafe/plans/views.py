@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from vouchsafe.fixed_values import INN10_WEIGHTS
 from vouchsafe.operators.fields import N_LINE, N_SCALARS, flatten_fields
 from vouchsafe.plans.tables import table
-from vouchsafe.schemas import LINE_TYPES, SCALAR_TYPES, SOURCE, SOURCES
+from vouchsafe.schemas import LINE_TYPES, SCALAR_TYPES, SOURCE
 from vouchsafe.settings import GuardrailSettings
 
 TODAY = dt.date(2001, 6, 1)
@@ -123,50 +122,40 @@ def flat_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(text, orders=table(spark, folder, "orders"), fx_lines=lines(spark, folder))
 
 
-def source_of(value: Column, page: Column) -> Column:
+def source_sql(value: str, page: str = "doc_id % 3 + 1") -> str:
     """One plain page pointer for a filled field, nothing for a missing one."""
-    pointer = F.struct(
-        F.lit("pdf_text").alias("kind"), page.cast("int").alias("page"),
-        F.lit(None).cast(SOURCE["bbox"].dataType).alias("bbox"),
-        F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("string").alias("cell_range"),
-        F.lit(None).cast("string").alias("text"),
+    kind = SOURCE.simpleString()
+    pointer = (
+        f"CAST(named_struct('kind', 'pdf_text', 'page', CAST({page} AS INT), 'bbox', NULL, 'sheet', NULL, "
+        f"'cell_range', NULL, 'text', NULL) AS {kind})"
     )
-    return F.when(value.isNull(), F.array().cast(SOURCES)).otherwise(F.array(pointer))
+    return f"CASE WHEN {value} IS NULL THEN CAST(array() AS ARRAY<{kind}>) ELSE array({pointer}) END"
 
 
-def _confidence(order: Column, value: Column) -> Column:
-    m = (F.col("doc_id") * 31 + order * 17) % 1009
-    score = F.when(m < 6, (m + 50).cast("double") / 100).otherwise((m % 20 + 80).cast("double") / 100)
-    return F.when(value.isNull(), F.lit(0.0)).otherwise(score)
-
-
-def _field(order: Column, value: Column) -> Column:
-    return F.struct(
-        value.alias("value"), _confidence(order, value).alias("confidence"),
-        source_of(value, F.col("doc_id") % 3 + 1).alias("sources"),
+def _field(order: str, value: str) -> str:
+    return (
+        f"named_struct('value', {value}, 'confidence', {confidence_sql(order, value)}, 'sources', {source_sql(value)})"
     )
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Nested documents: every value with its confidence and evidence, lines inside the row."""
-    flat = flat_documents(spark, folder)
     place = {p: i for i, p in enumerate(SCALAR_TYPES)}
 
-    def scalar(path: str) -> Column:
-        return _field(F.lit(place[path]), F.col(FLAT_OF[path]))
+    def scalar(path: str) -> str:
+        return _field(str(place[path]), FLAT_OF[path])
 
-    def party(name: str) -> Column:
-        return F.struct(*[scalar(f"{name}.{f}").alias(f) for f in ("name", "inn", "kpp")]).alias(name)
+    def party(name: str) -> str:
+        members = ", ".join(f"'{f}', {scalar(f'{name}.{f}')}" for f in ("name", "inn", "kpp"))
+        return f"named_struct({members}) AS {name}"
 
-    items = F.transform("flat_lines", lambda x, i: F.struct(*[
-        _field(i * N_LINE + (N_SCALARS + k), x[n]).alias(n) for k, n in enumerate(LINE_TYPES)
-    ]))
-    return flat.select(
+    members = ", ".join(f"'{n}', {_field(f'{N_SCALARS + k} + i * {N_LINE}', f'x.{n}')}" for k, n in enumerate(LINE_TYPES))
+    return flat_documents(spark, folder).selectExpr(
         "doc_id", "tenant_id", "status", "created_at",
-        *[scalar(p).alias(p) for p in ("document_type", "number", "date")],
+        *[f"{scalar(p)} AS {p}" for p in ("document_type", "number", "date")],
         party("supplier"), party("buyer"),
-        *[scalar(p).alias(p) for p in ("total_amount", "vat_amount", "currency")],
-        items.alias("line_items"),
+        *[f"{scalar(p)} AS {p}" for p in ("total_amount", "vat_amount", "currency")],
+        f"transform(flat_lines, (x, i) -> named_struct({members})) AS line_items",
     )
 
 
