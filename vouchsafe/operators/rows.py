@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def rows_of(df: DataFrame, keep: Sequence[str], items: Column | str, position: s
     return out.select(*keep, *place, "_item.*")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, also where it is needed in several branches."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, key: str, *, copies: str, spread: Sequence[str],
     hot_rows: int = HOT_ROWS, salts: int = SALTS,

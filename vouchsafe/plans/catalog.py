@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vouchsafe.plans import guardrail_queries, validation_queries  # noqa: F401
-from vouchsafe.plans.registry import ORACLES, QUERIES
+from vouchsafe.plans import (  # noqa: F401
+    browse_queries, guardrail_queries, model_queries, validation_queries,
+)
+from vouchsafe.plans.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

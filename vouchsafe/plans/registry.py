@@ -10,7 +10,7 @@ from vouchsafe.plans.oracle_views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_CHECKS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:
@@ -19,7 +19,12 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            _CHECKS[name] = (sql, views)
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """Complete checking SQL of every query that has one."""
+    return {name: with_views(views, sql) for name, (sql, views) in _CHECKS.items()}
