@@ -33,22 +33,30 @@ def scalar_pointer(path: str) -> str:
     return "/" + path.replace(".", "/")
 
 
-def field_array(doc: str | None = None, *, lines: bool = True, subtypes: bool = False) -> Column:
-    """All fields of the document row (or of struct column ``doc``) in document order."""
-    base = f"{doc}." if doc else ""
+def _field_array(base: str, lines: bool, subtypes: bool) -> str:
     scalars = [_flat(str(i), f"'{scalar_pointer(p)}'", base + p) for i, p in enumerate(SCALAR_TYPES)]
     if subtypes:
         extra = [n for group in SUBTYPE_FIELDS.values() for n in group]
         scalars += [_flat(str(i - len(extra)), f"'/{n}'", base + n) for i, n in enumerate(extra)]
     head = f"array({', '.join(scalars)})"
     if not lines:
-        return F.expr(head)
+        return head
     members = ", ".join(
         _flat(f"{N_SCALARS + k} + i * {N_LINE}", f"concat('/line_items/', i, '/{name}')", f"x.{name}")
         for k, name in enumerate(LINE_TYPES)
     )
     tail = f"flatten(transform({base}line_items, (x, i) -> array({members})))"
-    return F.expr(f"concat({head}, coalesce({tail}, CAST(array() AS ARRAY<{FLAT_FIELD.simpleString()}>)))")
+    return f"concat({head}, coalesce({tail}, CAST(array() AS ARRAY<{FLAT_FIELD.simpleString()}>)))"
+
+
+def field_array(*, lines: bool = True, subtypes: bool = False) -> Column:
+    """All fields of the document row in document order."""
+    return F.expr(_field_array("", lines, subtypes))
+
+
+def fields_of(document: str, *, subtypes: bool = False) -> Column:
+    """The same for a document held in one struct column, which is computed once for all fields."""
+    return F.expr(f"get(transform(array({document}), d -> {_field_array('d.', True, subtypes)}), 0)")
 
 
 def with_fields(docs: DataFrame, **kwargs: bool) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from vouchsafe.functions.identifiers import cache_key
 from vouchsafe.functions.numbers import dec
-from vouchsafe.operators.fields import field_array
+from vouchsafe.operators.fields import field_array, fields_of
 from vouchsafe.operators.rows import lookup_join, newest_rows, rank_within
-from vouchsafe.operators.validation import parse_results, validate_documents
+from vouchsafe.operators.validation import parse_results, validate_fields
 from vouchsafe.session import settle
 from vouchsafe.settings import MAX_MODEL_ATTEMPTS, SCHEMA_VERSION
 
@@ -55,13 +55,13 @@ def fan_out(docs: DataFrame, answers: DataFrame) -> DataFrame:
     return lookup_join(docs, answers, "key", copies="copies", spread=["doc_id"])
 
 
-def cache_get_valid(cache: DataFrame, today) -> DataFrame:
+def cache_get_valid(cache: DataFrame) -> DataFrame:
     """Entries whose stored key matches their parts and whose document still validates."""
     expected = cache_key(F.col("content_hash"), F.col("prompt_version"), F.col("model"))
     matching = cache.where(F.col("key") == expected)
     parsed = parse_results(matching.select(F.col("key").alias("doc_id"), F.col("document").alias("content")))
-    checked = validate_documents(parsed.where("error IS NULL").select("doc_id", "document.*"), today)
-    good = checked.where("is_valid").select(F.col("doc_id").alias("key"))
+    nested = parsed.where("error IS NULL").select("doc_id", fields_of("document").alias("fields"))
+    good = validate_fields(nested).where(F.size("errors") == 0).select(F.col("doc_id").alias("key"))
     return matching.join(good, "key", "left_semi")
 
 
@@ -120,24 +120,24 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def response_errors(responses: DataFrame, today, link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def response_errors(responses: DataFrame, link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per key the reason why an answer is refused, null for a good one.
 
-    ``link`` may add evidence to the parsed documents before they are validated.
+    ``link`` may add evidence to the parsed (doc_id, fields) rows before they are validated.
     """
     parsed = parse_results(responses.select(F.col("key").alias("doc_id"), "content"))
-    docs = parsed.where("error IS NULL").select("doc_id", "document.*")
-    checked = validate_documents(docs if link is None else link(docs), today)
+    nested = parsed.where("error IS NULL").select("doc_id", fields_of("document").alias("fields"))
+    checked = validate_fields(nested if link is None else link(nested))
     reasons = checked.select(
         F.col("doc_id").alias("key"),
-        F.when(~F.col("is_valid"), F.to_json(F.col("errors"))).alias("validation_error"),
+        F.when(F.size("errors") > 0, F.to_json(F.col("errors"))).alias("validation_error"),
     )
     broken = parsed.where("error IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("error").alias("validation_error"))
     return reasons.unionByName(broken)
 
 
 def run_model(
-    pending: DataFrame, model_fn: ModelFn, today, *, max_attempts: int = MAX_MODEL_ATTEMPTS,
+    pending: DataFrame, model_fn: ModelFn, *, max_attempts: int = MAX_MODEL_ATTEMPTS,
     concurrency: int | None = None, link: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ask the model for every pending (key, messages); refused answers are asked again with the errors.
@@ -151,7 +151,7 @@ def run_model(
         spread = ask.repartition(concurrency, "key") if concurrency else ask.repartition("key")
         answered = settle(spread.mapInPandas(model_fn, RESPONSE))
         ok = answered.where("provider_error IS NULL")
-        judged = answered.join(response_errors(ok, today, link), "key", "left")
+        judged = answered.join(response_errors(ok, link), "key", "left")
         judged = settle(judged.select(F.lit(attempt).alias("attempt"), *RESPONSE.names, "validation_error"))
         rounds.append(judged)
         if attempt < max_attempts:

@@ -63,7 +63,7 @@ def _(spark, d):
         "md5(cast(doc_id as string)) as content_hash", "'v5' as prompt_version", "'qwen' as model",
         "concat('1:v5:', case when doc_id % 9 = 0 then 'other' else 'qwen' end, ':', md5(cast(doc_id as string))) as key",
         "case when doc_id % 9 = 1 then substr(t, 3) else t end as document")
-    return m.cache_get_valid(entries, views.TODAY).select("key")
+    return m.cache_get_valid(entries).select("key")
 
 
 STORED = """
