@@ -59,10 +59,9 @@ def cache_get_valid(cache: DataFrame) -> DataFrame:
     """Entries whose stored key matches their parts and whose document still validates."""
     expected = cache_key(F.col("content_hash"), F.col("prompt_version"), F.col("model"))
     matching = cache.where(F.col("key") == expected)
-    parsed = parse_results(matching.select(F.col("key").alias("doc_id"), F.col("document").alias("content")))
-    nested = parsed.where("error IS NULL").select("doc_id", fields_of("document").alias("fields"))
-    good = validate_fields(nested).where(F.size("errors") == 0).select(F.col("doc_id").alias("key"))
-    return matching.join(good, "key", "left_semi")
+    parsed = parse_results(matching.select(F.struct(*cache.columns).alias("entry"), F.col("document").alias("content")))
+    nested = parsed.where("error IS NULL").select("entry", fields_of("document").alias("fields"))
+    return validate_fields(nested).where(F.size("errors") == 0).select("entry.*")
 
 
 def cache_store(cache: DataFrame, results: DataFrame) -> DataFrame:
@@ -120,20 +119,20 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def response_errors(responses: DataFrame, link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Per key the reason why an answer is refused, null for a good one.
+def judge_responses(answered: DataFrame, link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Answers (doc_id, content, provider_error, …) plus the reason why one is refused, null for a good one.
 
-    ``link`` may add evidence to the parsed (doc_id, fields) rows before they are validated.
+    Parsing and validation stay in the answer's row. ``link`` may add evidence to ``fields`` before.
     """
-    parsed = parse_results(responses.select(F.col("key").alias("doc_id"), "content"))
-    nested = parsed.where("error IS NULL").select("doc_id", fields_of("document").alias("fields"))
+    parsed = parse_results(answered)
+    nested = parsed.withColumn("fields", fields_of("document")).drop("document")
     checked = validate_fields(nested if link is None else link(nested))
-    reasons = checked.select(
-        F.col("doc_id").alias("key"),
-        F.when(F.size("errors") > 0, F.to_json(F.col("errors"))).alias("validation_error"),
+    reason = (
+        F.when(F.col("provider_error").isNull(), F.coalesce(
+            F.col("error"), F.when(F.size("errors") > 0, F.to_json(F.col("errors"))),
+        ))
     )
-    broken = parsed.where("error IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("error").alias("validation_error"))
-    return reasons.unionByName(broken)
+    return checked.withColumn("validation_error", reason).select(*answered.columns, "validation_error")
 
 
 def run_model(
@@ -150,8 +149,7 @@ def run_model(
     for attempt in range(1, max_attempts + 1):
         spread = ask.repartition(concurrency, "key") if concurrency else ask.repartition("key")
         answered = settle(spread.mapInPandas(model_fn, RESPONSE))
-        ok = answered.where("provider_error IS NULL")
-        judged = answered.join(response_errors(ok, link), "key", "left")
+        judged = judge_responses(answered.withColumnRenamed("key", "doc_id"), link).withColumnRenamed("doc_id", "key")
         judged = settle(judged.select(F.lit(attempt).alias("attempt"), *RESPONSE.names, "validation_error"))
         rounds.append(judged)
         if attempt < max_attempts:

@@ -55,4 +55,7 @@ def with_views(names: tuple[str, ...], body: str) -> str:
     if not ordered:
         return body
     parts = ",\n".join(f"{n} as ({VIEWS[n][1]})" for n in ordered)
-    return f"with {parts}\n{body}"
+    text = body.strip()
+    if text.lower().startswith("with "):
+        return f"with {parts},\n{text[5:]}"
+    return f"with {parts}\n{text}"
