@@ -13,7 +13,7 @@ from vouchsafe.operators.fields import (
     CORRECTION, canonical_path, document_columns, field_array, overlay_fields,
 )
 from vouchsafe.operators.guardrails import with_violations
-from vouchsafe.operators.rows import rows_of
+from vouchsafe.operators.rows import once, rows_of
 from vouchsafe.operators.validation import validate_fields
 from vouchsafe.settings import GuardrailSettings
 
@@ -26,10 +26,8 @@ def escalation_split(docs: DataFrame, settings: GuardrailSettings) -> tuple[Data
     return checked.where("NOT requires_review"), checked.where("requires_review")
 
 
-def disputed(fields: Column, violation_paths: Column) -> Column:
+def disputed(leaves: Column, violation_paths: Column) -> Column:
     """Leaf paths in dispute: the named leaf, or all leaves below the named node; first mention counts."""
-    leaves = F.transform(fields, lambda f: f["path"])
-
     def leaves_of(path: Column) -> Column:
         exact = canonical_path(path)
         below = F.concat(exact, F.lit("/"))
@@ -41,11 +39,10 @@ def disputed(fields: Column, violation_paths: Column) -> Column:
 
 def with_disputed(docs: DataFrame, settings: GuardrailSettings) -> DataFrame:
     """(doc_id, fields, disputed) of every document that has violations."""
-    checked = with_violations(docs, settings).where("requires_review").select(
-        "doc_id", field_array().alias("fields"),
-        F.transform("violations", lambda v: v["field_path"]).alias("violation_paths"),
-    )
-    return checked.select("doc_id", "fields", disputed(F.col("fields"), F.col("violation_paths")).alias("disputed"))
+    checked = with_violations(docs, settings).where("requires_review")
+    paths = F.transform("violations", lambda v: v["field_path"])
+    listed = once(checked.select("doc_id", field_array().alias("fields"), paths.alias("paths")), leaves=F.expr("fields.path"))
+    return once(listed, disputed=disputed(F.col("leaves"), F.col("paths"))).select("doc_id", "fields", "disputed")
 
 
 def disputed_paths(marked: DataFrame) -> DataFrame:

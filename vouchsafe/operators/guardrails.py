@@ -17,7 +17,7 @@ from vouchsafe.functions.identifiers import inn_valid
 from vouchsafe.functions.numbers import dec, half_even, rate_percent, rounding_tolerance
 from vouchsafe.functions.text import party_key
 from vouchsafe.operators.fields import scalar_pointer
-from vouchsafe.operators.rows import rows_of
+from vouchsafe.operators.rows import once, rows_of
 from vouchsafe.schemas import LINE_TYPES, PARTIES, SCALAR_TYPES, VIOLATION
 from vouchsafe.settings import GuardrailSettings
 
@@ -225,7 +225,7 @@ def with_violations(
     found = F.concat(*[rule(settings) for rule in _rule_list(rules)])
     blocking = F.exists("violations", lambda v: is_blocking(v["rule"]))
     return (
-        docs.withColumn("violations", found)
+        once(docs, violations=found)
         .withColumn("requires_review", F.size("violations") > 0)
         .withColumn("has_warnings", (F.size("violations") > 0) & ~blocking)
     )

@@ -22,6 +22,15 @@ def rows_of(df: DataFrame, keep: Sequence[str], items: Column | str, position: s
     return out.select(*keep, *place, "_item.*")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection is an alias: filters pushed below it and inferred constraints repeat its
+    expression at every mention. As the output of a one-row generator it is a value to what follows.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``, also where it is needed in several branches."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
