@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from vouchsafe.functions.text import strip
 from vouchsafe.operators.admission import describe_files
 from vouchsafe.operators.layout import BLOCK, BOX, PAGE, TABLE
-from vouchsafe.operators.rows import rows_of
+from vouchsafe.operators.rows import once, rows_of
 from vouchsafe.settings import MAX_UPLOAD_BYTES
 
 BINARY_SCHEMA = T.StructType([
@@ -85,9 +85,9 @@ def text_to_grid(text: Column, delimiter: Column) -> Column:
 
 def read_grid(files: DataFrame, text: str | None = None) -> DataFrame:
     """Delimited files (doc_id, name, content or a text column) -> one row with the cell grid."""
-    source = files if text else files.withColumn("_text", decode_text(F.col("content")))
-    column = F.col(text or "_text")
-    sniffed = source.withColumn("delimiter", sniff_delimiter(column))
+    source = once(files, _text=F.col(text) if text else decode_text(F.col("content")))
+    column = F.col("_text")
+    sniffed = once(source, delimiter=sniff_delimiter(column))
     sheet = F.regexp_replace("name", r"\.[^.]*$", "")
     return sniffed.select(
         "doc_id", sheet.alias("sheet"), "delimiter", text_to_grid(column, F.col("delimiter")).alias("grid"))
@@ -100,10 +100,8 @@ def grid_cells(grids: DataFrame) -> DataFrame:
     return rows_of(grids, ["doc_id", "sheet"], cells)
 
 
-def grid_page(number: Column, label: Column, grid: Column) -> Column:
+def grid_page(number: Column, label: Column, grid: Column, n_rows: Column, n_cols: Column) -> Column:
     """A sheet as a page: one block per filled cell, the whole grid as a table."""
-    n_rows = F.greatest(F.size(grid), F.lit(1)).cast("double")
-    n_cols = F.greatest(F.coalesce(F.array_max(F.transform(grid, lambda row: F.size(row))), F.lit(0)), F.lit(1)).cast("double")
     source = F.concat(F.lit("spreadsheet:"), label)
 
     def block(value: Column, r: Column, c: Column) -> Column:
@@ -128,5 +126,11 @@ def grid_page(number: Column, label: Column, grid: Column) -> Column:
 
 def grid_to_layout(grids: DataFrame, media_type: str = "text/csv") -> DataFrame:
     """One sheet per document -> a layout row, without any grouping."""
-    page = grid_page(F.lit(1), F.col("sheet"), F.col("grid"))
-    return grids.select("doc_id", F.lit(media_type).alias("media_type"), F.array(page).alias("pages"))
+    widest = F.array_max(F.transform("grid", lambda row: F.size(row)))
+    sized = once(
+        once(grids.drop("delimiter").withColumnRenamed("grid", "_g"), grid=F.col("_g")).drop("_g"),
+        n_rows=F.greatest(F.size("grid"), F.lit(1)).cast("double"),
+        n_cols=F.greatest(F.coalesce(widest, F.lit(0)), F.lit(1)).cast("double"),
+    )
+    page = grid_page(F.lit(1), F.col("sheet"), F.col("grid"), F.col("n_rows"), F.col("n_cols"))
+    return sized.select("doc_id", F.lit(media_type).alias("media_type"), F.array(page).alias("pages"))
