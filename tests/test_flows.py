@@ -199,3 +199,21 @@ def test_latest_status(spark):
             (2, "completed", t(1), False), (2, "review_required", t(2), True), (3, "uploaded", t(0), False), (3, "processing", t(1), False)]
     df = spark.createDataFrame(rows, "doc_id int, status string, ts timestamp, is_correction boolean")
     assert {r.doc_id: r.status for r in flows.latest_status(df).collect()} == {1: "completed", 2: "review_required", 3: "processing"}
+
+
+def test_decoding_order(spark):
+    raw = [(0, "Товар;2".encode()), (1, "Товар;2".encode("cp1251")), (2, b"\xef\xbb\xbfname,1"), (3, b"\x98\xff,a")]
+    rows = spark.createDataFrame([(i, "f.csv", bytearray(b)) for i, b in raw], "doc_id int, name string, content binary")
+    got = {r.doc_id: r.grid[0] for r in read_grid(rows).collect()}
+    assert got[0] == got[1] == ["Товар", "2"] and got[2] == ["name", "1"] and got[3] == ["\ufffd\ufffd", "a"]
+
+
+def test_stream_process_writes_each_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf", "c.exe"):
+        (tmp_path / "in" / name).write_bytes(b"%PDF-" + name.encode())
+    files = flows.stream_files(spark, str(tmp_path / "in"))
+    out = str(tmp_path / "results")
+    writer = flows.stream_process(files, lambda df: df.where("reason IS NULL").select("object_key", "name"), out, concurrency=2)
+    writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.name for r in spark.read.parquet(out).collect()} == {"a.pdf", "b.pdf"}

@@ -42,12 +42,21 @@ DELIMITERS = (",", ";", "\t")
 SNIFF_CHARS = 4096
 
 
+# the one-byte Cyrillic page differs from Latin-1 in its upper half and leaves one code undefined
+_UPPER = bytes(b for b in range(0x80, 0x100) if b != 0x98)
+_UNDEFINED = "\x98"
+
+
 def decode_text(content: Column) -> Column:
-    """UTF-8 without its mark, else the one-byte Cyrillic page, else UTF-8 with replacements."""
+    """UTF-8 without its mark, else the one-byte Cyrillic page, else UTF-8 with replacements.
+
+    The Cyrillic page is read as Latin-1 and translated, which needs no session setting.
+    """
     utf8 = content.cast("string")
-    page = F.decode(content, "windows-1251")
-    text = F.when(F.is_valid_utf8(utf8), utf8).when(~page.contains("�"), page).otherwise(F.make_valid_utf8(utf8))
-    return F.regexp_replace(text, "^﻿", "")
+    latin = F.decode(content, "ISO-8859-1")
+    page = F.translate(latin, _UPPER.decode("latin-1"), _UPPER.decode("cp1251"))
+    text = F.when(F.is_valid_utf8(utf8), utf8).when(~latin.contains(_UNDEFINED), page).otherwise(F.make_valid_utf8(utf8))
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def sniff_delimiter(text: Column) -> Column:
