@@ -7,6 +7,9 @@ join on the document key and never enumerates field/block pairs as rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,15 @@ LAYOUT_SCHEMA = T.StructType([
 ])
 
 
+# user-supplied recognition: batches of pages in, batches of recognised words out
+OcrFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+OCR_WORDS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("page_no", T.IntegerType()), T.StructField("text", T.StringType()),
+    T.StructField("conf", T.StringType()), T.StructField("left", T.IntegerType()), T.StructField("top", T.IntegerType()),
+    T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
+])
+
+
 # --- text layer and routing ---------------------------------------------------
 def text_layer_stats(pages: DataFrame, text: str = "text") -> DataFrame:
     """Visible and alphanumeric characters, words and readable share per page."""
@@ -145,6 +157,16 @@ def ocr_words_to_blocks(pages: DataFrame) -> DataFrame:
     ).drop("words", "page_text")
 
 
+def recognise_pages(pages: DataFrame, ocr_fn: OcrFn, concurrency: int | None = None) -> DataFrame:
+    """Words of the pages routed to recognition, from a user function over batches.
+
+    ``ocr_fn`` maps batches of (doc_id, page_no, image reference) to batches of ``OCR_WORDS`` columns.
+    """
+    waiting = pages.where(F.col("route") == "ocr").select("doc_id", "page_no", "image")
+    spread = waiting.repartition(concurrency, "doc_id", "page_no") if concurrency else waiting
+    return spread.mapInPandas(ocr_fn, OCR_WORDS)
+
+
 def clean_rows(rows: Column) -> Column:
     """Null cells become '', cells are trimmed, rows without any text are dropped."""
     filled = F.transform(rows, lambda row: F.transform(row, lambda c: F.coalesce(tx.strip(c), F.lit(""))))
