@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchsafe.llm import exact_dedup, packing
+from vouchsafe.llm import bpe, exact_dedup, packing, quality, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -27,3 +27,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op1_bpe_prefix_coding")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_token_files(files, with_ids=False)
+
+
+@query("op8_quality_discriminant")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
