@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchsafe.llm import bpe, exact_dedup, packing, quality, token_files
+from vouchsafe.llm import bpe, exact_dedup, packing, pii, quality, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Key of the pseudonyms in the query; a deployment names its own in VOUCHSAFE_PII_KEY.
+PII_KEY = os.environ.get("VOUCHSAFE_PII_KEY", "vouchsafe")
+
 
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +48,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_discriminant")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_pii_pseudonyms")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
