@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchsafe.llm import bpe, exact_dedup, packing, pii, quality, token_files
+from vouchsafe.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -53,3 +53,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
