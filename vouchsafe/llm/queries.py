@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vouchsafe.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, token_files
+from vouchsafe.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -58,3 +59,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), least=400, keep_first=False)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
