@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.llm import bpe, exact_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_files
+from vouchsafe.llm import bpe, exact_dedup, knn, ngram_join, packing, pii, quality, suffix_dedup, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -65,3 +65,26 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), least=400, keep_first=False)
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op4_voronoi_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    ), r AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s
+    )
+    SELECT * FROM r WHERE rank <= 20
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding")))
+    vectors = usable.select("vec_id", knn.whole_components(F.col("embedding")).alias("v"))
+    return knn.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
