@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.llm import bpe, exact_dedup, knn, ngram_join, packing, pii, quality, suffix_dedup, token_files
+from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, suffix_dedup, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -88,3 +88,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = table(spark, sf_dir, "embeddings").where(knn.usable(F.col("embedding")))
     vectors = usable.select("vec_id", knn.whole_components(F.col("embedding")).alias("v"))
     return knn.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
