@@ -30,3 +30,8 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def pii_key() -> str:
+    """Key of the pseudonyms; a deployment names its own in VOUCHSAFE_PII_KEY."""
+    return os.environ.get("VOUCHSAFE_PII_KEY", "vouchsafe")

@@ -65,7 +65,7 @@ def _parts_of(hashes: np.ndarray) -> bytes:
 
 def _sets(words: int):
     """Rows of kind 0: a document's key, size and parts. Rows of kind 1: a task's counts of buckets."""
-    names = ["kind", "row", "doc_id", "n", "cls", "key", "parts", "bucket", "times"]
+    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "bucket", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -82,7 +82,8 @@ def _sets(words: int):
                 parts.append(_parts_of(found))
             m = len(size)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(m, np.int32)), pa.array(np.arange(row, row + m)), batch.column(0), pa.array(size, pa.int32()),
+                pa.array(np.zeros(m, np.int32)), pa.array(np.arange(row, row + m)), batch.column(0),
+                batch.column(2), pa.array(size, pa.int32()),
                 pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary()),
                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
             ], names=names)
@@ -90,14 +91,15 @@ def _sets(words: int):
         at = np.flatnonzero(counts)
         none = lambda kind: pa.nulls(len(at), kind)
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(len(at), np.int32)), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()),
+            pa.array(np.ones(len(at), np.int32)), none(pa.int64()), none(pa.int64()), none(pa.int64()),
+            none(pa.int32()), none(pa.int64()),
             none(pa.binary()), none(pa.binary()), pa.array(at.astype(np.int32)), pa.array(counts[at]),
         ], names=names)
 
     return run
 
 
-_SETS = "kind int, row long, doc_id long, n int, cls long, key binary, parts binary, bucket int, times long"
+_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, bucket int, times long"
 
 
 def _prefixes(words: int, num: int, den: int, counts):
@@ -188,17 +190,37 @@ def _verify(words: int, num: int, den: int):
 
 
 def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``.
 
     The set of a text: its distinct ``words``-grams of words after lower-casing A-Z, words being runs of
     characters other than space, tab, line feed, vertical tab, form feed and carriage return. A text with
     fewer words is one n-gram; without words, or null, the set is empty and linked with nothing. Two rows
     link when den * intersection >= num * union. ``component_id`` is the smallest doc_id in reach, its own
-    included. Rows that repeat a doc_id are rows of their own; null doc_ids link but name no component.
-    Other columns are not read.
+    included. Of each component one row is ``kept``: one with that doc_id. Rows that repeat a doc_id are rows
+    of their own; null doc_ids link but name no component where there are others. Other columns are not read.
     """
+    return _components(docs, words, num, den).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; texts without words all stay.
+
+    Rows that repeat both doc_id and text are one row of the result.
+    """
+    kept = _components(docs, words, num, den).where("kept").select(
+        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_kept_key"),
+    )
+    marked = docs.withColumn("_text_key", F.xxhash64(whole_text("text")))
+    stay = marked.join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi",
+    )
+    return stay.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+
+
+def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
-    texts = spread(docs.select("doc_id", whole_text("text").alias("text")))
+    text = whole_text("text")
+    texts = spread(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key")))
     passed = written(texts.mapInArrow(_sets(words), _SETS), "ngram-sets")
     sets = passed.where("kind = 0")
     # at most BUCKETS rows
@@ -208,7 +230,7 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
         times[r["bucket"]] = r["times"]
     classes = written(
         sets.where("n > 0").groupBy("cls", "key").agg(
-            F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.min_by("doc_id", "row").alias("text_of"),
+            F.min("row").alias("node"), F.min(_place()).alias("place"), F.min_by("doc_id", "row").alias("text_of"),
             F.first("n").alias("n"), F.first("parts").alias("parts"),
         ),
         "ngram-classes",
@@ -250,15 +272,20 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
     roots = components(links.unionByName(more))
 
     placed = classes.join(roots, "node", "left").select(
-        "cls", "key", "doc_id", F.coalesce("root", "node").alias("root"),
+        "cls", "key", "place", F.coalesce("root", "node").alias("root"),
     )
-    smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = written(placed.join(smallest, "root").select("cls", "key", "component_id"), "ngram-components")
-    linked = sets.where("n > 0").select("doc_id", "n", "cls", "key").join(of_class, ["cls", "key"])
-    alone = sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n", "component_id").unionByName(alone).select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id",
+    smallest = placed.groupBy("root").agg(F.min("place").alias("smallest"))
+    of_class = written(placed.join(smallest, "root").select("cls", "key", "smallest"), "ngram-components")
+    linked = sets.where("n > 0").join(of_class, ["cls", "key"]).select(
+        "doc_id", "text_key", "n", F.col("smallest.doc_id").alias("component_id"), (F.col("smallest.row") == F.col("row")).alias("kept"),
     )
+    alone = sets.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone).withColumn("n_shingles", F.col("n").cast("long"))
+
+
+def _place() -> Column:
+    """Order of rows: by doc_id, null last, then by place in the input."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, suffix_dedup, token_files
-from vouchsafe.llm.catalog import ORACLES, QUERIES, query, tokenizer_path  # noqa: F401
+from vouchsafe.llm.catalog import ORACLES, QUERIES, pii_key, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Key of the pseudonyms in the query; a deployment names its own in VOUCHSAFE_PII_KEY.
-PII_KEY = os.environ.get("VOUCHSAFE_PII_KEY", "vouchsafe")
-
 
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +48,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_pii_pseudonyms")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), pii_key())
 
 
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    found = ngram_join.ngram_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op7_suffix_dedup")
