@@ -104,10 +104,11 @@ _ASSIGNED = "row long, vec_id long, v binary, asks boolean, cell int, far double
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, exactly; floating point where no sum can leave its whole numbers."""
     if q.size and x.size and np.abs(q).max() * np.abs(x).max() * x.shape[1] >= 2.0**53:
-        out = q.astype(object) @ x.astype(object).T
+        whole = np.frompyfunc(int, 1, 1)
+        out = whole(q) @ whole(x).T
         if out.size and max(abs(int(out.max())), abs(int(out.min()))) >= 2**63:
             raise OverflowError("an inner product doesn't fit 64 bits")
-        return np.vectorize(int, otypes=[np.int64])(out)
+        return out.astype(np.int64)
     return (q @ x.T).astype(np.int64)
 
 
