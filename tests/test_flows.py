@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from vouchsafe.operators import cascade
 from vouchsafe.operators import evaluation as ev
 from vouchsafe.operators import guardrails as g
 from vouchsafe.operators import model_calls as mc
@@ -97,6 +98,45 @@ def test_model_is_asked_again_once_and_only_for_refused_answers(spark):
     assert audit["second"].input_tokens == 20 and audit["good"].output_tokens is None
 
 
+def test_bypassed_copies_have_calls_of_their_own(spark):
+    docs = spark.createDataFrame([(i, "same") for i in range(4)] + [(9, "other")], "doc_id long, key string")
+    cache = spark.createDataFrame([("same", "{}")], "key string, document string")
+    pending = mc.pending_calls(docs, cache, bypass=True).withColumn(
+        "messages", F.array(F.struct(F.lit("user").alias("role"), F.lit("text").alias("content"))))
+
+    def refused(batches):
+        for batch in batches:
+            yield pd.DataFrame([{
+                "key": k, "content": "{}", "input_tokens": 1, "output_tokens": 1, "response_ms": 1, "provider_error": None,
+            } for k in batch["key"]], columns=mc.RESPONSE.names)
+
+    attempts = mc.run_model(pending, refused, max_attempts=2)
+    audit = mc.summarize_attempts(attempts)
+    assert [r.n_attempts for r in audit.collect()] == [2] * 5
+    answers = audit.join(pending.select("key", "copies"), "key")
+    assert sorted(r.doc_id for r in mc.fan_out(docs, answers, bypass=True).collect()) == [0, 1, 2, 3, 9]
+
+
+def test_two_spellings_of_a_path_keep_the_job_alive(spark):
+    one = '{"value": "%s", "confidence": 1, "sources": []}'
+    content = '{"/number": %s, "number": %s}' % (one % "A", one % "B")
+    found = cascade.parse_corrections(spark.createDataFrame([(1, content)], "doc_id long, content string"))
+    kept, dropped = cascade.restrict_corrections(found, spark.createDataFrame([(1, "/number")], "doc_id long, path string"))
+    assert [(r.path, r.value) for r in kept.collect()] == [("/number", "A")]
+    assert [(r.path, r.value) for r in dropped.collect()] == [("number", "B")]
+
+
+@pytest.mark.parametrize("text, delimiter, grid", [
+    ("name;price;sum\nБолт, М8;1,50;2,30\n", ";", [["name", "price", "sum"], ["Болт, М8", "1,50", "2,30"]]),
+    ('a;"x\ny";b\r\nc;"d ""e"" ;f";', ";", [["a", "x\ny", "b"], ["c", 'd "e" ;f', ""]]),
+    ("one\n\ntwo", ",", [["one"], [], ["two"]]), ("", ",", []), ("a\tb\n1,5\t2,5", "\t", [["a", "b"], ["1,5", "2,5"]]),
+    ('"q,r"' + ",s" * 3000, ",", [["q,r", *["s"] * 3000]]),
+])
+def test_grids_are_cut_by_records(spark, text, delimiter, grid):
+    got = read_grid(spark.createDataFrame([(1, "t.csv", text)], "doc_id long, name string, body string"), "body").first()
+    assert (got.delimiter, got.grid) == (delimiter, grid)
+
+
 def gold_side(spark, rows):
     line = "struct<name:string,quantity:string,unit:string,unit_price:string,amount:string,vat_rate:string,vat_amount:string>"
     scalars = ", ".join(p.replace(".", "_") + " string" for p in ev.fv.EVAL_SCALARS)

@@ -62,19 +62,24 @@ def reask_requests(marked: DataFrame) -> DataFrame:
 
 
 def parse_corrections(responses: DataFrame) -> DataFrame:
-    """Entries of a JSON object that hold value, confidence and sources; anything else is ignored."""
+    """Entries of a JSON object that hold value, confidence and sources; anything else is ignored.
+
+    Paths stay as the model spelled them: only the spelling that was asked for counts later. Of entries
+    with one path the last stays.
+    """
     entries = F.when(
         F.try_parse_json("content").isNotNull() & F.col("content").rlike(r"^\s*\{"),
         F.map_entries(F.from_json("content", "map<string,string>")),
     )
-    exploded = rows_of(responses, ["doc_id"], entries)
+    exploded = rows_of(responses, ["doc_id"], entries, position="at")
     parts = F.from_json("value", "map<string,string>")
     complete = F.lit(True)
     for name in CORRECTION.names:
         complete = complete & F.coalesce(F.map_contains_key(parts, F.lit(name)), F.lit(False))
-    return exploded.where(complete).select(
-        "doc_id", canonical_path(F.col("key")).alias("path"), F.from_json("value", CORRECTION).alias("c"),
-    ).select("doc_id", "path", "c.*")
+    parsed = exploded.where(complete).select(
+        "doc_id", F.col("key").alias("path"), "at", F.from_json("value", CORRECTION).alias("c"),
+    )
+    return parsed.groupBy("doc_id", "path").agg(F.max_by("c", "at").alias("c")).select("doc_id", "path", "c.*")
 
 
 def restrict_corrections(corrections: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,9 +95,8 @@ def overlay_corrections(nested: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def corrected_documents(nested: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Nested documents after the overlay; those that no longer validate are left out."""
-    valid = overlay_corrections(nested, corrections).where(F.size("errors") == 0)
-    return valid.select("doc_id", *document_columns())
+    """Nested documents after the overlay, each with the errors that it has now (none: it validates)."""
+    return overlay_corrections(nested, corrections).select("doc_id", *document_columns(), "errors")
 
 
 def field_provenance(nested: DataFrame, marked: DataFrame, cheap: str, costly: str) -> DataFrame:

@@ -34,24 +34,35 @@ def plan_keys(docs: DataFrame, cache: DataFrame) -> DataFrame:
     return keys.join(entries, "key", "left")
 
 
+def call_id(bypass: bool) -> Column:
+    """What identifies a call: the content key, or the key and the document when the cache is bypassed."""
+    return F.concat_ws("#", "key", F.col("doc_id").cast("string")) if bypass else F.col("key")
+
+
 def pending_calls(docs: DataFrame, cache: DataFrame, *, bypass: bool = False) -> DataFrame:
-    """The calls to make: each unknown content once, or every document when the cache is bypassed."""
+    """The calls to make, unique by ``key``: each unknown content once, or every document when the cache is bypassed.
+
+    A bypassed call's ``key`` is its own ``call_id``, so copies of a content have attempts of their own.
+    """
     if bypass:
-        return docs.select("key", F.col("doc_id").alias("leader"), F.lit(1).cast("bigint").alias("copies"))
+        return docs.select(call_id(True).alias("key"), F.col("doc_id").alias("leader"), F.lit(1).cast("bigint").alias("copies"))
     return plan_keys(docs, cache).where("cached IS NULL").select("key", "leader", "copies")
 
 
 def plan_calls(docs: DataFrame, cache: DataFrame, *, bypass: bool = False) -> DataFrame:
     """Per document: ``hit`` (answer known), ``call`` (asks the model) or ``share`` (copy of a call)."""
     if bypass:
-        return docs.select("doc_id", "key", F.lit("call").alias("action"))
+        return docs.select("doc_id", call_id(True).alias("key"), F.lit("call").alias("action"))
     planned = lookup_join(docs.select("doc_id", "key"), plan_keys(docs, cache), "key", copies="copies", spread=["doc_id"])
     action = F.when(F.col("cached"), "hit").when(F.col("doc_id") == F.col("leader"), "call").otherwise("share")
     return planned.select("doc_id", "key", action.alias("action"))
 
 
-def fan_out(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Give the answer of a content (unique by key, with ``copies``) to all of its documents."""
+def fan_out(docs: DataFrame, answers: DataFrame, *, bypass: bool = False) -> DataFrame:
+    """Give the answer of a call (unique by key, with ``copies``) to all of its documents."""
+    if bypass:
+        own = docs.withColumn("_call", call_id(True))
+        return own.join(answers.withColumnRenamed("key", "_call"), "_call", "left").drop("_call")
     return lookup_join(docs, answers, "key", copies="copies", spread=["doc_id"])
 
 

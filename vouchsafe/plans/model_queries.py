@@ -52,6 +52,15 @@ def _(spark, d):
     return m.pending_calls(keyed(spark, d), cached(spark, d))
 
 
+@query("d2_bypass_calls", """
+select doc_id, key, doc_id as leader, cast(1 as bigint) as copies, cast(1 as bigint) as n_calls from keyed""", ("keyed",))
+def _(spark, d):
+    docs = keyed(spark, d)
+    calls = m.pending_calls(docs, cached(spark, d), bypass=True)
+    answers = calls.groupBy("key").agg(F.min("leader").alias("leader"), F.max("copies").alias("copies"), F.count("*").alias("n_calls"))
+    return m.fan_out(docs.select("doc_id", "key"), answers, bypass=True).select("doc_id", "key", "leader", "copies", "n_calls")
+
+
 @query("d3_cache_get_valid", """
 select concat('1:v5:qwen:', md5(cast(d.doc_id as varchar))) as key from fx_docs d
 where d.doc_id % 9 not in (0, 1) and d.doc_id not in (select doc_id from sound_errors)""", ("fx_docs", "sound_errors"))

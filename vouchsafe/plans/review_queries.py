@@ -236,7 +236,7 @@ def _(spark, d):
 ANSWERS = """
 select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'no json' when 1 then '[1]'
   else concat('{{"/number": {{"value": "N', cast(o_orderkey as string), '", "confidence": 0.9, "sources": [{{"kind": "ocr", "page": 2}}]}}, ',
-    '"currency": {{"value": "RUB", "confidence": 1.0, "sources": []}}, "/date": {{"value": null, "confidence": 0}}, "x": 3}}') end as content from {orders}"""
+    '"/currency": {{"value": "RUB", "confidence": 1.0, "sources": []}}, "number": {{"value": "X", "confidence": 0.5, "sources": []}}, "/date": {{"value": null, "confidence": 0}}, "x": 3}}') end as content from {orders}"""
 
 
 def corrections(spark, d) -> DataFrame:
@@ -245,7 +245,8 @@ def corrections(spark, d) -> DataFrame:
 
 view("f_corrections", (), """
 select o_orderkey as doc_id, '/number' as path, concat('N', cast(o_orderkey as varchar)) as value, cast(0.9 as double) as confidence, 1 as n_sources from orders where o_orderkey % 5 > 1
-union all select o_orderkey, '/currency', 'RUB', cast(1 as double), 0 from orders where o_orderkey % 5 > 1""")
+union all select o_orderkey, '/currency', 'RUB', cast(1 as double), 0 from orders where o_orderkey % 5 > 1
+union all select o_orderkey, 'number', 'X', cast(0.5 as double), 0 from orders where o_orderkey % 5 > 1""")
 
 
 @query("f4_parse_corrections", "select * from f_corrections", ("f_corrections",))
@@ -263,12 +264,11 @@ def _(spark, d):
 @query("f6_overlay_corrections", """
 select f.doc_id, f.path, case when c.doc_id is not null then c.value else f.value end as value,
   case when c.doc_id is not null then c.confidence else f.confidence end as confidence
-from fx_fields f left join f_corrections c on c.doc_id = f.doc_id and c.path = f.path where f.path in ('/number', '/currency', '/date', '/line_items/0/name')""",
+from fx_fields f left join f_corrections c on c.doc_id = f.doc_id and c.path = f.path""",
        ("fx_fields", "f_corrections"))
 def _(spark, d):
     done = fl.overlay_fields(nested(spark, d), corrections(spark, d))
-    wanted = F.filter("fields", lambda f: f["path"].isin("/number", "/currency", "/date", "/line_items/0/name"))
-    return fl.rows_of(done, ["doc_id"], wanted).select("doc_id", "path", "value", "confidence")
+    return fl.rows_of(done, ["doc_id"], "fields").select("doc_id", "path", "value", "confidence")
 
 
 @query("f7_field_provenance", """

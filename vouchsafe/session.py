@@ -24,10 +24,13 @@ def local_session(app: str = "vouchsafe", cores: str = "*", partitions: int = 8)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder. Only a local session, whose tasks share a disk, may go without one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = context.getCheckpointDir()
+    if named is None and current is None and not context.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    if current is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or context.getCheckpointDir()
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from vouchsafe.functions.text import strip
 from vouchsafe.operators.admission import describe_files
 from vouchsafe.operators.layout import BLOCK, BOX, PAGE, TABLE
-from vouchsafe.operators.rows import once, rows_of
+from vouchsafe.operators.rows import let, once, rows_of
 from vouchsafe.settings import MAX_UPLOAD_BYTES
 
 BINARY_SCHEMA = T.StructType([
@@ -39,7 +39,6 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*", max_bytes: in
 
 # --- delimited text ---------------------------------------------------------------
 DELIMITERS = (",", ";", "\t")
-SNIFF_CHARS = 4096
 
 
 # the one-byte Cyrillic page differs from Latin-1 in its upper half and leaves one code undefined
@@ -59,22 +58,35 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 
 
+def _records(text: Column, delimiter: str) -> Column:
+    """Records of a text: a cell that starts with a quote may hold delimiters, doubled quotes and line breaks."""
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"[^{delimiter}\\r\\n]*+|[^{delimiter}\\r\\n]*+)'
+    record = f"({cell}(?:{delimiter}{cell})*+)(?:\\r\\n|\\r|\\n)"
+    closed = F.concat(F.regexp_replace(text, r"(\r\n|\r|\n)$", ""), F.lit("\n"))
+    return F.regexp_extract_all(closed, F.lit(record), F.lit(1))
+
+
 def sniff_delimiter(text: Column) -> Column:
-    """The candidate that occurs most in the head of the text, comma when there is none or a tie."""
-    head = F.substring(text, 1, SNIFF_CHARS)
-    counts = {d: F.regexp_count(head, F.lit(d)) for d in DELIMITERS}
-    best = F.greatest(*counts.values())
-    chosen = F.lit(DELIMITERS[-1])
-    for d in reversed(DELIMITERS[:-1]):
-        chosen = F.when(counts[d] == best, d).otherwise(chosen)
-    return chosen
+    """The candidate that cuts the most records of the whole text like the first one, into more than one cell.
+
+    Of equal ones the one with more cells, then the first candidate; comma when none cuts the first record.
+    """
+    def judged(d: str) -> Column:
+        counts = F.transform(_records(text, d), lambda r: F.size(_cells(r, F.lit(d))))
+        return let(counts, lambda c: F.struct(
+            F.when(F.get(c, F.lit(0)) > 1, F.size(F.filter(c, lambda n: n == F.get(c, F.lit(0))))).otherwise(0).alias("alike"),
+            F.coalesce(F.get(c, F.lit(0)), F.lit(0)).alias("cells"), F.lit(-DELIMITERS.index(d)).alias("order"), F.lit(d).alias("delimiter"),
+        ))
+
+    best = let(F.array_max(F.array(*[judged(d) for d in DELIMITERS])), lambda b: F.when(b["alike"] > 0, b["delimiter"]))
+    return F.coalesce(best, F.lit(DELIMITERS[0]))
 
 
 def _cells(line: Column, delimiter: Column) -> Column:
     """Cells of one line; a quoted cell may hold delimiters and doubled quotes."""
     # a closing delimiter makes every cell, also an empty last one, end in a delimiter
     raw = F.regexp_extract_all(F.concat(line, delimiter), F.concat(
-        F.lit('("(?:[^"]|"")*"[^'), delimiter, F.lit(']*|[^'), delimiter, F.lit(']*)'), delimiter), F.lit(1))
+        F.lit('("[^"]*+(?:""[^"]*+)*+"[^'), delimiter, F.lit(']*|[^'), delimiter, F.lit(']*)'), delimiter), F.lit(1))
 
     def clean(c: Column) -> Column:
         bare = strip(c)
@@ -86,10 +98,12 @@ def _cells(line: Column, delimiter: Column) -> Column:
 
 
 def text_to_grid(text: Column, delimiter: Column) -> Column:
-    lines = F.split(F.regexp_replace(text, r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
-    kept = F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
-    return F.transform(kept, lambda line: F.when(
-        line == "", F.array().cast("array<string>")).otherwise(_cells(line, delimiter)))
+    records = F.when(delimiter == DELIMITERS[0], _records(text, DELIMITERS[0]))
+    for d in DELIMITERS[1:]:
+        records = records.when(delimiter == d, _records(text, d))
+    kept = F.when(text == "", F.array().cast("array<string>")).otherwise(records)
+    return F.transform(kept, lambda record: F.when(
+        record == "", F.array().cast("array<string>")).otherwise(_cells(record, delimiter)))
 
 
 def read_grid(files: DataFrame, text: str | None = None) -> DataFrame:
