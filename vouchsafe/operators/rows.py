@@ -78,24 +78,25 @@ def newest_rows(df: DataFrame, n: int, levels: Sequence[Column]) -> DataFrame:
     """The first ``n`` rows in descending order of ``levels``, exactly, whatever ``n`` is.
 
     Each level must split the previous one into few values (hour, second, key prefix, key). The cut
-    is found level by level from counts, so the rows themselves are only filtered, never sorted.
+    is found level by level from counts, one row of which comes to the driver, so the rows themselves are
+    filtered once by a plain condition and never sorted.
     """
     names = [f"_l{i}" for i in range(len(levels))]
     marked = df.withColumns(dict(zip(names, levels)))
-    kept: DataFrame | None = None
-    rest, quota = marked, F.lit(n).cast("bigint")
+    newer_kept, at_edge, left = F.lit(False), F.lit(True), n
     for name in names:
-        counts = rest.groupBy(name).agg(F.count("*").alias("_n"))
+        counts = marked.where(at_edge).groupBy(name).agg(F.count("*").alias("_n"))
         newer = Window.orderBy(F.desc(name)).rowsBetween(Window.unboundedPreceding, -1)
         cut = (
-            counts.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
-            .where(F.col("_newer") < quota)
-            .agg(F.min_by(F.struct(name, "_newer"), name).alias("_cut"))
+            counts.where(F.col(name).isNotNull()).withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+            .where(F.col("_newer") < left).orderBy(name).select(name, "_newer").head()
         )
-        edge = cut.select(F.col(f"_cut.{name}")).scalar()
-        above = rest.where(F.col(name) > edge)
-        kept = above if kept is None else kept.unionByName(above)
-        rest = rest.where(F.col(name) == edge)
-        quota = (quota - cut.select("_cut._newer").scalar()).cast("bigint")
-    # what is left agrees on every level: equal in order, and unique when the last level is a key
-    return kept.unionByName(rest).drop(*names)
+        if cut is None:
+            at_edge = F.lit(False)
+            break
+        edge = F.lit(cut[0]).cast(marked.schema[name].dataType)
+        newer_kept = newer_kept | (at_edge & (F.col(name) > edge))
+        at_edge = at_edge & (F.col(name) == edge)
+        left -= cut["_newer"]
+    # what is at the edge of every level is equal in order, and unique when the last level is a key
+    return marked.where(newer_kept | at_edge).drop(*names)
