@@ -25,7 +25,7 @@ from vouchsafe.llm.tables import spread, whole_text
 # fixed value: the byte-level cut of a text before any merge
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Entries of a worker's tables (known words, known pairs); a full table is emptied.
+#: Entries of a worker's tables (known words and pieces each, known pairs); a full table is emptied.
 KNOWN = 500_000
 PAIRS = 1_000_000
 #: Documents that are encoded together in a task.
@@ -133,6 +133,7 @@ class PrefixBpe:
         self.decimal = [str(t) for t in range(len(self.bytes_of))]
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.cut = regex.compile(PATTERN)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -199,7 +200,14 @@ class PrefixBpe:
     def word(self, text: str) -> bytes:
         """Ids of a text without white space but for a leading blank."""
         pieces = _CUT_COMMON.findall(text) if _COMMON.fullmatch(text) else self.cut.findall(text)
-        return np.array([t for p in pieces for t in self.piece(p.encode())], dtype="<u4").tobytes()
+        known = self.pieces
+        out = []
+        for p in pieces:
+            ids = known.get(p)
+            if ids is None:
+                ids = known[p] = np.array(self.piece(p.encode()), dtype="<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         known = self.known
@@ -219,6 +227,8 @@ class PrefixBpe:
             out.append(np.frombuffer(line_feed.join(lines), dtype="<u4"))
             if len(known) > KNOWN:
                 known.clear()
+            if len(self.pieces) > KNOWN:
+                self.pieces.clear()
         return out
 
     def uncut(self, text: str) -> bytes:
