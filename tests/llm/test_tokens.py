@@ -43,7 +43,8 @@ def odd_texts(n: int) -> list[str]:
 def test_chunked_ids_equal_the_library(kind, path):
     texts = odd_texts(1500) + [t or "" for _, t in corpus()]
     found = kind(model_text(path)).encode(texts)
-    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [ids(plain(path), t) for t in texts]
+    library = plain(path)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [ids(library, t) for t in texts]
 
 
 def test_prefix_bpe_equals_the_library():
