@@ -14,11 +14,11 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Entries of the table of known words in one worker; a full table is emptied, which costs time only.
-KNOWN = 1_200_000
 #: Words that go through the tokenizer in one call, joined by a separator with a known single id.
 TOGETHER = 256
 
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,!*$%&#|;:?"
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
@@ -28,6 +28,8 @@ class ChunkEncoder:
     ``known[0]`` holds words at the start of a line, ``known[1]`` words behind a blank.
     """
 
+    #: Entries of a table of known words in one worker; a full table is emptied, which costs time only.
+    room = 500_000
     #: What stands between joined words, and before each of them, by table.
     between: tuple[str, str]
     before: tuple[str, str]
@@ -53,7 +55,7 @@ class ChunkEncoder:
     def learn(self, words: set[str], table: int) -> None:
         known, between, before = self.known[table], self.between[table], self.before[table]
         new = list(words.difference(known))
-        if len(known) + len(new) > KNOWN:
+        if len(known) + len(new) > self.room:
             known.clear()
             new = list(words)
         separator = int.from_bytes(self.separator, "little")
@@ -118,14 +120,34 @@ class ByteChunkEncoder(ChunkEncoder):
 class WordChunkEncoder(ChunkEncoder):
     """White space only separates."""
 
+    room = 1_200_000
     between = (" \x02 ", " \x02 ")
     before = ("", "")
 
+    def learn_words(self, words: set[str]) -> None:
+        """Letters with marks behind them are two independent pieces, and only the small letters count."""
+        known, parts = self.known[1], self.known[0]
+        new = words.difference(known)
+        if len(known) + len(new) > self.room:
+            known.clear()
+            new = words
+        split, whole = [], set()
+        for word in new:
+            letters = word.rstrip(_MARKS)
+            if _LATIN.fullmatch(letters):
+                split.append((word, letters.lower(), word[len(letters) :]))
+            else:
+                whole.add(word)
+        self.learn({p for _, letters, marks in split for p in (letters, marks)}, 0)
+        self.learn(whole, 1)
+        for word, letters, marks in split:
+            known[word] = parts[letters] + parts[marks]
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         cut = [
             None if "<|" in t and any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts
         ]
-        self.learn(set().union(*[c for c in cut if c is not None]), 1)
+        self.learn_words(set().union(*[c for c in cut if c is not None]))
         get = self.known[1].__getitem__
         return [self.direct([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
