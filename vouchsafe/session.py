@@ -28,7 +28,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
-    if named is None and current is None and not context.master.startswith("local["):
+    if named is None and current is None and not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if current is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
