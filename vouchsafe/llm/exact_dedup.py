@@ -49,15 +49,14 @@ def heavy_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
         found.groupBy("digest").agg(F.sum("at_least").alias("at_least"))
         .orderBy(F.desc("at_least"), "digest").limit(2 * counters).select("digest")
     )
-    total = digests.agg(F.count("*").alias("total"))
+    total = digests.count()
     exact = (
         digests.join(F.broadcast(candidates), "digest")
         .groupBy("digest")
         .agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
     )
     return (
-        exact.join(F.broadcast(total))
-        .where((F.col("group_size") > 1) & (F.col("group_size") * counters >= F.col("total")))
+        exact.where((F.col("group_size") > 1) & (F.col("group_size") * counters >= total))
         .orderBy(F.desc("group_size"), "digest").limit(counters)
         .select("digest", "keep", "group_size")
     )
