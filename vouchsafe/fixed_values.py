@@ -11,10 +11,7 @@ DOCUMENT_TYPES = (
     "work_completion_act",
 )
 DOCUMENT_STATUSES = ("uploaded", "processing", "extracted", "review_required", "completed", "failed")
-EXTRACTION_STATUSES = ("pending", "running", "succeeded", "failed")
-TASK_STATUSES = ("pending", "in_progress", "resolved", "rejected")
 OPEN_TASK_STATUSES = ("pending", "in_progress")
-RUN_STATUSES = ("running", "completed", "failed")
 SOURCE_KINDS = ("pdf_text", "ocr", "image", "spreadsheet")
 RULES = (
     "total_mismatch",

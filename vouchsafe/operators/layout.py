@@ -180,20 +180,17 @@ def clean_table_rows(tables: DataFrame) -> DataFrame:
 
 # --- evidence pointers --------------------------------------------------------
 def excel_column(number: Column) -> Column:
-    """1 -> A, 27 -> AA, up to three letters."""
-    n = F.greatest(number.cast("int"), F.lit(1))
-    low = (n - 1) % 26
-    mid = F.floor((n - 1) / 26)
-    high = F.floor((mid - 1) / 26)
-
-    def letter(c: Column) -> Column:
-        return F.char(c.cast("bigint") + 65)
-
-    return F.concat(
-        F.when(mid > 26, letter((high - 1) % 26)).otherwise(""),
-        F.when(mid > 0, letter((mid - 1) % 26)).otherwise(""),
-        letter(low),
-    )
+    """1 -> A, 27 -> AA, and so on for any number."""
+    start = F.struct(F.greatest(number.cast("bigint"), F.lit(1).cast("bigint")).alias("left"), F.lit("").alias("letters"))
+
+    def step(state: Column, _: Column) -> Column:
+        before = state["left"] - 1
+        return F.when(state["left"] > 0, F.struct(
+            F.floor(before / 26).alias("left"), F.concat(F.char(before % 26 + 65), state["letters"]).alias("letters"),
+        )).otherwise(state)
+
+    # fourteen letters hold every 64-bit number
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["letters"])
 
 
 def _whole(c: Column) -> Column:

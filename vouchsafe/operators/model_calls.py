@@ -123,7 +123,7 @@ RESPONSE = T.StructType([
     T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()),
     T.StructField("response_ms", T.LongType()), T.StructField("provider_error", T.StringType()),
 ])
-RETRY_TEXT = "Ответ не прошёл проверку. Исправь JSON, не добавляя неподтверждённые значения. Ошибки:\n"
+RETRY_TEXT = "Проверка нашла ошибки. Пришли весь JSON заново, в нём только то, что есть в тексте. Что найдено:\n"
 
 
 def _message(role: str, content: Column) -> Column:
@@ -148,11 +148,11 @@ def judge_responses(answered: DataFrame, link: Callable[[DataFrame], DataFrame]
 
 def run_model(
     pending: DataFrame, model_fn: ModelFn, *, max_attempts: int = MAX_MODEL_ATTEMPTS,
-    concurrency: int | None = None, link: Callable[[DataFrame], DataFrame] | None = None,
+    concurrency: int | None = None, link: Callable[[DataFrame], DataFrame] | None = None, retry_text: str = RETRY_TEXT,
 ) -> DataFrame:
     """Ask the model for every pending (key, messages); refused answers are asked again with the errors.
 
-    ``model_fn`` maps batches of (key, messages) to batches of the response columns. ``concurrency``
+    ``retry_text`` stands before the errors of a refused answer. ``model_fn`` maps batches of (key, messages) to batches of the response columns. ``concurrency``
     is the number of tasks that call at the same time. Each round is written to reliable storage
     before it is used, so neither a lost executor nor a later action repeats a finished round.
     """
@@ -169,7 +169,7 @@ def run_model(
                 "key",
                 F.concat("messages", F.array(
                     _message("assistant", F.col("content")),
-                    _message("user", F.concat(F.lit(RETRY_TEXT), F.col("validation_error"))),
+                    _message("user", F.concat(F.lit(retry_text), F.col("validation_error"))),
                 )).cast(MESSAGES).alias("messages"),
             )
     result = rounds[0]
