@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +37,6 @@ def whole_text(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns that an operator works on; extra columns of any name stay outside."""
-    return df.select(*columns)
-
-
 def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
     """Deal rows evenly for heavy work per row when the input has fewer pieces than the cluster cores.
 
@@ -54,7 +47,3 @@ def spread(df: DataFrame, *columns: Column | str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
-
-
-def names(columns: Sequence[str]) -> str:
-    return ", ".join(columns)
