@@ -7,8 +7,9 @@ must pass the length filter, the positional filter (what can still match behind
 suffix filter (a lower bound of the symmetric difference from the sets' spread over fixed parts of the hash
 space). Each pair that is left is verified once on the whole sets.
 
-Candidates come in two steps, so that a large group of near copies isn't tried pair by pair. First every
-member of a prefix list is tried against the list's first member. Then only members that are in different
+Candidates come in steps, so that a large group of near copies isn't tried pair by pair. First every member
+of a prefix list is tried against the member with the most exact copies, then what is still apart against a
+few members drawn by hash. Then only members that are in different
 components are paired. Links inside a component change no component, so the result is exact.
 """
 
@@ -28,8 +29,10 @@ from vouchsafe.llm.tables import spread, whole_text, written
 
 #: Buckets of the corpus counts that make the order rare first. A fixed size: any order gives right results.
 BUCKETS = 1 << 16
-#: Parts of the hash space of the suffix filter.
-PARTS = 256
+#: Parts of the hash space of the suffix filter: a short form beside each candidate, a longer one for each pair.
+OUTLINE, PARTS = 64, 256
+#: Members, drawn by hash, that what is still apart is tried against before it is paired.
+MORE_HUBS = 3
 #: Rows with both texts that are verified together.
 GROUP = 256
 
@@ -59,19 +62,24 @@ def _class_of(hashes: np.ndarray) -> tuple[int, bytes]:
     return int.from_bytes(key[:8], "little", signed=True), key
 
 
+def _outline_of(hashes: np.ndarray) -> np.ndarray:
+    """Counts in OUTLINE parts of the hash space, held at 127: differences of held counts are never too large."""
+    return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=OUTLINE), 127).astype(np.int8)
+
+
 def _parts_of(hashes: np.ndarray) -> bytes:
     return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes()
 
 
 def _sets(words: int):
     """Rows of kind 0: a document's key, size and parts. Rows of kind 1: a task's counts of buckets."""
-    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "bucket", "times"]
+    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "outline", "bucket", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            size, cls, keys, parts = [], [], [], []
+            size, cls, keys, parts, outline = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
                 counts += np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
@@ -80,11 +88,13 @@ def _sets(words: int):
                 cls.append(short)
                 keys.append(key)
                 parts.append(_parts_of(found))
+                outline.append(_outline_of(found))
             m = len(size)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.zeros(m, np.int32)), pa.array(np.arange(row, row + m)), batch.column(0),
                 batch.column(2), pa.array(size, pa.int32()),
                 pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary()),
+                pa.array(outline, pa.list_(pa.int8())),
                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
             ], names=names)
             row += m
@@ -93,13 +103,13 @@ def _sets(words: int):
         yield pa.RecordBatch.from_arrays([
             pa.array(np.ones(len(at), np.int32)), none(pa.int64()), none(pa.int64()), none(pa.int64()),
             none(pa.int32()), none(pa.int64()),
-            none(pa.binary()), none(pa.binary()), pa.array(at.astype(np.int32)), pa.array(counts[at]),
+            none(pa.binary()), none(pa.binary()), none(pa.list_(pa.int8())), pa.array(at.astype(np.int32)), pa.array(counts[at]),
         ], names=names)
 
     return run
 
 
-_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, bucket int, times long"
+_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, outline array<tinyint>, bucket int, times long"
 
 
 def _prefixes(words: int, num: int, den: int, counts):
@@ -140,6 +150,15 @@ def _may_match(an: Column, aat: Column, bn: Column, bat: Column, num: int, den:
     return (small * den >= large * num) & (rest >= need)
 
 
+def _outlines_close(num: int, den: int) -> Column:
+    """Suffix filter on the short forms, inside the join: far sets never become rows."""
+    apart = F.aggregate(
+        F.zip_with("outline", "_outline", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda a, x: a + x,
+    )
+    both = F.col("n").cast("long") + F.col("_n")
+    return apart <= both - 2 * F.ceil(both * num / (num + den) - 1e-9)
+
+
 def _suffix_filter(num: int, den: int):
     """Pairs whose sets can't differ too much, judged by how many n-grams each has in each part of the hash space."""
 
@@ -231,7 +250,7 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     classes = written(
         sets.where("n > 0").groupBy("cls", "key").agg(
             F.min("row").alias("node"), F.min(_place()).alias("place"), F.min_by("doc_id", "row").alias("text_of"),
-            F.first("n").alias("n"), F.first("parts").alias("parts"),
+            F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("outline").alias("outline"), F.count("*").alias("copies"),
         ),
         "ngram-classes",
     )
@@ -239,32 +258,45 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         _prefixes(words, num, den, spark.sparkContext.broadcast(times)), "token long, cls long, n int, at int",
     )
     of_token = Window.partitionBy("token")
+    shared = postings.withColumns({"least": F.min("cls").over(of_token), "last": F.max("cls").over(of_token)}).where("least < last")
+    # the class with the most copies is what most near copies were made from
+    best = F.max(F.struct("copies", -F.col("n"), "cls", "at")).over(of_token)
     shared = written(
-        postings.withColumns({
-            "first": F.min(F.struct("n", "cls", "at")).over(of_token), "last": F.max("cls").over(of_token),
-            "least": F.min("cls").over(of_token),
-        }).where("least < last").select("token", "cls", "n", "at", "first"),
+        shared.select("token", "cls", "n", "at").join(classes.select("cls", "copies"), "cls")
+        .withColumn("hub", best).select("token", "cls", "n", "at", F.struct(
+            F.col("hub.cls").alias("cls"), (-F.col("hub.col2")).alias("n"), F.col("hub.at").alias("at")).alias("hub")),
         "ngram-shared",
     )
     tried = (
-        shared.where(F.col("cls") != F.col("first.cls"))
-        .where(_may_match(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"), num, den))
-        .select(F.least("cls", "first.cls").alias("x"), F.greatest("cls", "first.cls").alias("y")).distinct()
+        shared.where(F.col("cls") != F.col("hub.cls"))
+        .where(_may_match(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), num, den))
+        .select(F.least("cls", "hub.cls").alias("x"), F.greatest("cls", "hub.cls").alias("y")).distinct()
     )
     tried = written(tried, "ngram-tried")
     links = _links(docs, classes, tried, words, num, den)
     roots = components(links)
 
-    # members of different components that share a prefix n-gram
-    place = (
-        classes.join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("root"))
+    # what is still apart is tried against a few more members of its lists, drawn by hash
+    spread_hub = F.max(F.struct(F.xxhash64(F.pmod("token", F.lit(MORE_HUBS)), "cls").alias("order"), "cls", "n", "at", "root")).over(of_token)
+    apart = _placed(shared, classes, roots).withColumn("other", spread_hub).where(F.col("root") != F.col("other.root"))
+    again = (
+        apart.where(_may_match(F.col("n"), F.col("at"), F.col("other.n"), F.col("other.at"), num, den))
+        .select(F.least("cls", "other.cls").alias("x"), F.greatest("cls", "other.cls").alias("y")).distinct()
+        .join(tried, ["x", "y"], "left_anti")
     )
-    left = shared.join(place, "cls").select("token", "cls", "n", "at", "root")
-    right = left.select("token", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "at", "root")])
+    again = written(again, "ngram-tried")
+    links = written(links.unionByName(_links(docs, classes, again, words, num, den)), "ngram-links")
+    roots = components(links)
+    tried = tried.unionByName(again)
+
+    # members of different components that share a prefix n-gram
+    left = _placed(shared, classes, roots)
+    right = left.select("token", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "at", "root", "outline")])
     across = (
         left.join(right, "token")
         .where((F.col("cls") < F.col("_cls")) & (F.col("root") != F.col("_root")))
         .where(_may_match(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), num, den))
+        .where(_outlines_close(num, den))
         .select(F.col("cls").alias("x"), F.col("_cls").alias("y")).distinct()
         .join(tried, ["x", "y"], "left_anti")
     )
@@ -283,6 +315,12 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return linked.unionByName(alone).withColumn("n_shingles", F.col("n").cast("long"))
 
 
+def _placed(shared: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the prefix lists with the component and the short form of their class."""
+    place = classes.join(roots, "node", "left").select("cls", "outline", F.coalesce("root", "node").alias("root"))
+    return shared.join(place, "cls").select("token", "cls", "n", "at", "root", "outline")
+
+
 def _place() -> Column:
     """Order of rows: by doc_id, null last, then by place in the input."""
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
