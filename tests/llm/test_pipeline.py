@@ -41,7 +41,7 @@ def test_stages(spark):
 
     before, after = found["with_pseudonyms"]
     texts = {r.doc_id: r.text for r in before}
-    assert Counter(r.doc_id for r in after) == Counter(texts)
+    assert Counter(r.doc_id for r in after) == Counter(list(texts))
     for r in after:
         assert r.n_chars == len(r.text) and (r.text == texts[r.doc_id] or any(c.isdigit() or c == "@" for c in texts[r.doc_id]))
 
