@@ -114,6 +114,35 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs.limit(0), "key").count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4041894974608795"
+    apart = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    rows = [
+        (1, f"{card} 123"), (2, f"{card} 12/25"), (3, f"2 {card}"), (4, f"{apart} 123"), (5, f"x {card} {card} y"), (6, f"{card} 12.5 z"),
+        (7, f"{card} 123-45-6789"), (8, f"{card} 2024-02-29T10:00"), (9, "2024-01-01T10:00"), (10, f"{card}-123"), (11, f"7 {apart} 12"),
+        (12, f"{card} 12@mail.com"), (13, f"a-{card}"), (14, " ".join(str(n) for n in range(1000, 1012))), (15, "1 " * 30000 + "2"),
+        (16, card), (17, "40418949 74608795 77"), (18, "4041 894974608 795 1"),
+    ]
+    docs = frame(spark, rows[:14] + rows[15:])
+    done = pii.pseudonymise(docs, "key")
+    new = {r.doc_id: r.text for r in done.collect()}
+    other = new[16]
+    spaced = " ".join(other[i : i + 4] for i in range(0, 16, 4))
+    assert other != card and luhn(other)
+    assert (new[1], new[2], new[3], new[4]) == (f"{other} 123", f"{other} 12/25", f"2 {other}", f"{spaced} 123")
+    assert (new[5], new[6], new[10], new[13]) == (f"x {other} {other} y", f"{other} 12.5 z", f"{other}-123", f"a-{card}")
+    assert new[7].startswith(other) and not new[7].endswith("123-45-6789") and new[12].startswith(f"{other} ") and "12@" not in new[12]
+    assert re.fullmatch(other + r" \d{4}-\d\d-\d\dT10:00", new[8]) and "2024-02-29" not in new[8]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT10:00", new[9]) and "2024-01-01" not in new[9]
+    assert apart not in new[11] and "40418949 74608795" not in new[17] and "4041 894974608 795" not in new[18]
+    back = pii.pseudonymise(done, "key", back=True)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows[:14] + rows[15:])
+    counts = {r.doc_id: r for r in pii.pseudonymised(docs, "key").collect()}
+    assert (counts[5].n_card, counts[7].n_person, counts[8].n_date, counts[13].replaced) == (2, 1, 1, 0)
+    # a long run is read without deep recursion
+    assert spark.range(1).select(F.regexp_extract_all(F.lit(rows[14][1]), F.lit(pii.CARD), F.lit(0)).alias("m")).first().m == [rows[14][1]]
+
+
 def plain_scan(rows, threshold=0.6):
     """Best notice of each sentence, with the same counts, one text at a time."""
     wanted = {w for t in licenses.TEMPLATES.values() for n in t for w in re.findall("[a-z0-9]+", n.lower())}

@@ -17,17 +17,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vouchsafe.operators.rows import once
+from vouchsafe.operators.rows import let, once
 
 ROUNDS = 8
 
 _LEFT, _RIGHT = r"(?<![\w.+-])", r"(?![\w-])(?!\.\w)"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-CARD = rf"{_LEFT}\d(?:[ -]?\d){{12,18}}{_RIGHT}"
 PHONE = rf"(?:(?<![\w.+-])\+\d{{1,3}}[ .-]?)?(?<!\w)\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\w)|(?<![\w.+-])(?:\+\d{{1,3}}[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_RIGHT}"
 ADDRESS = rf"{_LEFT}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_RIGHT}"
 PERSON = rf"{_LEFT}\d{{3}}-\d{{2}}-\d{{4}}{_RIGHT}"
-DATE = rf"{_LEFT}\d{{4}}-\d{{2}}-\d{{2}}{_RIGHT}|{_LEFT}\d{{2}}/\d{{2}}/\d{{4}}{_RIGHT}|{_LEFT}\d{{2}}\.\d{{2}}\.\d{{4}}{_RIGHT}"
+DATE = rf"{_LEFT}\d{{4}}-\d{{2}}-\d{{2}}(?:(?=[Tt]\d{{2}})|{_RIGHT})|{_LEFT}\d{{2}}/\d{{2}}/\d{{4}}{_RIGHT}|{_LEFT}\d{{2}}\.\d{{2}}\.\d{{4}}{_RIGHT}"
+_GROUP = r"\d++(?!\w|\.\w|-(?!\d+\b))"
+#: A whole run of digit groups up to a value of another form; which windows of it are cards is judged afterwards.
+CARD = rf"{_LEFT}(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -](?!{EMAIL}|{DATE}|{PERSON}|{PHONE}|{ADDRESS}){_GROUP})*+"
+#: Layouts in which cards are printed; they go before other windows of a run.
+CARD_LAYOUT = r"^(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{3}\3\d{3}\3\d{3}|\d{6}([ -])\d{7,13}|\d{8}[ -]\d{8})$"
+CARD_DIGITS = (13, 19)
+WALKS = 32
 KEY_ID = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
 SECRET = r"(?i:(?<!\w)(?:password|passwd|token|secret|api_key))\s*[=:]\s*\"?[0-9A-Za-z]{12,}\"?"
 #: Order decides where two forms start at one place.
@@ -112,6 +118,76 @@ def card_valid(text: Column) -> Column:
     return (_luhn_sum(_digits(text)) % 10 == 0) & (_digits(text).cast("decimal(20,0)") > 0)
 
 
+def card_windows(run: Column) -> Column:
+    """array<struct(at, size)> in order: the parts of a digit run that are card numbers, no two overlapping.
+
+    All windows of whole groups with 13 to 19 digits are judged. Where windows that pass overlap, an unbroken
+    number goes first, then a printed layout, then the whole run, then the longer and the earlier one.
+    """
+    fewest, most = CARD_DIGITS
+
+    def groups(c: Column) -> Column:
+        digit = lambda i: F.coalesce(F.get(c, i).between("0", "9"), F.lit(False))
+        places = F.sequence(F.lit(0), F.size(c) - 1)
+        first = F.filter(places, lambda i: digit(i) & ~digit(i - 1))
+        last = F.filter(places, lambda i: digit(i) & ~digit(i + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def windows(g: Column) -> Column:
+        from_here = lambda x, i: F.transform(
+            F.slice(g, i + 1, F.lit(most)), lambda y, n: F.struct(
+                (x["a"] + 1).alias("at"), (y["b"] - x["a"] + 1).alias("size"), n.alias("gaps"),
+            ),
+        )
+        return F.filter(
+            F.flatten(F.transform(g, from_here)), lambda w: (w["size"] - w["gaps"]).between(fewest, most),
+        )
+
+    def ranked(w: Column) -> Column:
+        text = F.substr(run, w["at"], w["size"])
+        rank = F.when(w["gaps"] == 0, 0).when(text.rlike(CARD_LAYOUT), 1).when(w["size"] == F.length(run), 2).otherwise(3)
+        return F.struct(rank.alias("rank"), (-w["size"]).alias("less"), w["at"].alias("at"), w["size"].alias("size"))
+
+    passing = F.filter(
+        let(let(F.split(run, ""), groups), windows),
+        lambda w: let(F.substr(run, w["at"], w["size"]), card_valid),
+    )
+    apart = lambda w, x: (w["at"] + w["size"] <= x["at"]) | (x["at"] + x["size"] <= w["at"])
+    chosen = F.aggregate(
+        F.array_sort(F.transform(passing, ranked)), F.array().cast("array<struct<at:int,size:int>>"),
+        lambda kept, w: F.when(
+            F.forall(kept, lambda x: apart(w, x)),
+            F.array_append(kept, F.struct(w["at"].cast("int").alias("at"), w["size"].cast("int").alias("size"))),
+        ).otherwise(kept),
+    )
+    return F.array_sort(chosen)
+
+
+def _cards(run: Column, windows: Column, key: str, back: bool) -> Column:
+    """The run with its card windows permuted.
+
+    New digits can make a window pass that goes before the chosen ones; then the permutation goes on until the run
+    is read as before, so that the way back finds the same windows. A run that needs more than ``WALKS``
+    steps (a long table of numbers) keeps its last state.
+    """
+
+    end = lambda w: w["at"] + w["size"]
+
+    def changed(text: Column) -> Column:
+        part = lambda w, i: let(F.coalesce(end(F.get(windows, i - 1)), F.lit(1)), lambda at: F.concat(
+            F.substr(text, at, w["at"] - at), let(F.substr(text, w["at"], w["size"]), lambda t: _card(t, key, back)),
+        ))
+        rest = F.coalesce(end(F.get(windows, F.size(windows) - 1)), F.lit(1))
+        return F.concat(F.array_join(F.transform(windows, part), ""), F.substr(text, rest, F.length(text)))
+
+    def step(state: Column, n: Column) -> Column:
+        done = state["done"] | ((n > 0) & (card_windows(state["run"]) == windows))
+        return let(done, lambda d: F.struct(F.when(d, state["run"]).otherwise(changed(state["run"])).alias("run"), d.alias("done")))
+
+    start = F.struct(run.alias("run"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALKS)), start, step, lambda s: s["run"])
+
+
 def _card(text: Column, key: str, back: bool) -> Column:
     """All digits but the check digit are permuted, the check digit is computed anew."""
     digits = _digits(text)
@@ -254,28 +330,40 @@ def _key_id(text: Column, key: str, back: bool) -> Column:
 
 
 _Change = Callable[[Column, str, bool], Column]
-_CHANGES: dict[str, tuple[Callable[[Column], Column] | None, _Change]] = {
+#: Cards are changed by window, not as a whole.
+_CHANGES: dict[str, tuple[Callable[[Column], Column] | None, _Change | None]] = {
     "email": (None, _email), "secret": (None, _secret), "key_id": (None, _key_id), "date": (date_valid, _date),
-    "person": (person_valid, _person), "phone": (None, _phone), "address": (address_valid, _address), "card": (card_valid, _card),
+    "person": (person_valid, _person), "phone": (None, _phone), "address": (address_valid, _address), "card": (None, None),
 }
 
 
 def kind_of(match: Column) -> Column:
-    """Form of a found value, null where its validation fails."""
+    """Form of a found value, null where its validation fails; a run of digits is a "card" without validation."""
     out: Column | None = None
     for kind, pattern in FORMS.items():
         valid = _CHANGES[kind][0]
-        hit = match.rlike(f"^(?:{pattern})$")
+        # a run is the last form, and only its surroundings decide where it ends
+        hit = match.rlike(r"^[0-9][0-9 -]{12,}$" if kind == "card" else f"^(?:{pattern})$")
         value = F.lit(kind) if valid is None else F.when(valid(match), kind)
         out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
 
-def pseudonym(match: Column, kind: Column, key: str, back: bool = False) -> Column:
-    out: Column | None = None
+def marked_value(match: Column) -> Column:
+    """struct(value, kind, windows, n): a found value, its form, the cards of a run, the number of values to replace."""
+    whole = lambda kind, windows: F.struct(
+        match.alias("value"), F.when((kind != "card") | (F.size(windows) > 0), kind).alias("kind"), windows.alias("windows"),
+        F.when(kind == "card", F.size(windows)).otherwise(1).cast("long").alias("n"),
+    )
+    return let(kind_of(match), lambda kind: let(F.when(kind == "card", card_windows(match)), lambda windows: whole(kind, windows)))
+
+
+def pseudonym(mark: Column, key: str, back: bool = False) -> Column:
+    match, kind = mark["value"], mark["kind"]
+    out = F.when(kind == "card", _cards(match, mark["windows"], key, back))
     for name, (_, change) in _CHANGES.items():
-        value = change(match, key, back)
-        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+        if change is not None:
+            out = out.when(kind == name, change(match, key, back))
     return out.otherwise(match)
 
 
@@ -293,15 +381,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
         docs,
         _matches=F.when(hit, F.regexp_extract_all(there, F.lit(ANY), F.lit(0))).otherwise(empty),
     )
-    marked = once(
-        found, _marked=F.transform("_matches", lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind"))),
-    )
+    marked = once(found, _marked=F.transform("_matches", marked_value))
     between = F.split(there, ANY, -1)
     rebuilt = F.concat(
         F.element_at(between, 1),
         F.array_join(
             F.transform("_marked", lambda m, i: F.concat(
-                pseudonym(m["value"], m["kind"], key, back), F.coalesce(F.get(between, i + 1), F.lit("")),
+                pseudonym(m, key, back), F.coalesce(F.get(between, i + 1), F.lit("")),
             )),
             "",
         ),
@@ -312,7 +398,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
         kinds = F.transform(F.filter("_marked", lambda m: m["kind"].isNotNull()), lambda m: m["kind"])
         out[counts] = F.map_from_entries(F.transform(
             F.array_sort(F.array_distinct(kinds)),
-            lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)).cast("long")),
+            lambda k: F.struct(k, F.aggregate(
+                F.filter("_marked", lambda m: m["kind"] == k), F.lit(0).cast("long"), lambda a, m: a + m["n"],
+            )),
         ))
     return marked.withColumns(out).drop("_matches", "_marked")
 
