@@ -181,3 +181,21 @@ def test_licence_scan(spark):
     assert by[1] == ("MIT", "header", None) and by[3] == ("Apache-2.0", "file", None) and by[4][:2] == ("GPL-3.0", "header")
     assert by[2] == by[9] == ("Apache-2.0", "inherited", "a/LICENSE") and by[5] == by[6] == by[7] == by[10] == (None, None, None)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_whole_licence_files(spark):
+    texts = {n: t for n, (t,) in licenses.full_texts().items()}
+    holder = lambda t: t.replace("<year> <copyright holders>", "2021-2024 Some Body, Another <a@b.org>")
+    rows = [(k, f"{n}/LICENSE", holder(t)) for k, (n, t) in enumerate(sorted(texts.items()))]
+    rows += [(100 + k, f"{n}/src/deep/x.py", words(20, k)) for k, n in enumerate(sorted(texts))]
+    rows += [
+        (200, "own/COPYING", words(300, 1) + "\nReleased under the MIT License.\n" + words(300, 2)), (201, "own/a.py", words(9, 3)),
+        (202, "other/LICENSE", "All rights reserved. " + words(200, 4)), (203, "other/a.py", words(9, 5)),
+        (204, "cut/LICENSE.txt", holder(texts["MIT"]).split("\n", 2)[2]), (205, "none/text.py", texts["BSD-3-Clause"]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)
+    by = {r.doc_id: (r.license, r.origin, r.inherited_from) for r in licenses.scan(docs).collect()}
+    for k, n in enumerate(sorted(texts)):
+        assert by[k] == (n, "file", None) and by[100 + k] == (n, "inherited", f"{n}/LICENSE")
+    assert by[200] == ("MIT", "file", None) and by[201] == ("MIT", "inherited", "own/COPYING") and by[204] == ("MIT", "file", None)
+    assert by[202] == by[203] == by[205] == (None, None, None)
