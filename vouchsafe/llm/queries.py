@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, suffix_dedup, token_files
+from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, resampling, suffix_dedup, token_files
 from vouchsafe.llm.catalog import ORACLES, QUERIES, pii_key, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -90,3 +90,53 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+CRC_TABLE = """list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of a text in DuckDB, over its bytes; ``crc_table.c`` holds CRC_TABLE."""
+    byte = "CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT)".format(text)
+    return (
+        f"xor(list_reduce(list_transform(range(strlen({text})), lambda i: {byte}),"
+        " lambda c, b: xor(c >> 8, crc_table.c[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+    )
+
+
+@query(
+    "op13_target_resampling",
+    f"""
+    WITH crc_table AS MATERIALIZED (SELECT {CRC_TABLE} AS c),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    sw AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY r, w),
+    tw AS MATERIALIZED (
+        SELECT w, count(*) AS n
+        FROM (SELECT unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark) GROUP BY w
+    ),
+    b AS MATERIALIZED (
+        SELECT w, {crc_sql("w")} % 10000 AS bucket FROM (SELECT w FROM sw UNION SELECT w FROM tw), crc_table
+    ),
+    s AS (SELECT bucket, sum(n) AS n FROM sw JOIN b USING (w) GROUP BY bucket),
+    t AS (SELECT bucket, sum(n) AS n FROM tw JOIN b USING (w) GROUP BY bucket),
+    totals AS (SELECT CAST(coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS big_s, CAST(coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS big_t),
+    gain AS (
+        SELECT s.bucket, CAST(floor(1000 * ln(
+            (coalesce(t.n, 0) + 1.0::DOUBLE) * (big_s + 10000) / ((s.n + 1.0::DOUBLE) * (big_t + 10000)))) AS BIGINT) AS g
+        FROM s LEFT JOIN t USING (bucket), totals
+    ),
+    weights AS (SELECT r, CAST(sum(sw.n) AS BIGINT) AS n_features, CAST(sum(sw.n * g) AS BIGINT) AS weight FROM sw JOIN b USING (w) JOIN gain USING (bucket) GROUP BY r),
+    scored AS (
+        SELECT d.r, d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+               coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM d LEFT JOIN weights USING (r)
+    ),
+    ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, rank
+    FROM scored LEFT JOIN (SELECT r, rank FROM ranked WHERE rank <= n * 10 // 100) USING (r)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
