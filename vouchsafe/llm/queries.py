@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, resampling, suffix_dedup, token_files
+from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, resampling, suffix_dedup, token_files, url_filters, url_labels
 from vouchsafe.llm.catalog import ORACLES, QUERIES, pii_key, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -140,3 +140,15 @@ def crc_sql(text: str) -> str:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("text"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: Host and path rules of the query, longest wins.
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+)
+
+
+@query("op12_url_filters")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(url_labels.labelled(), "url string, label int")
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filters.train(labelled))
