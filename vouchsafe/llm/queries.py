@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchsafe.llm import bpe, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, resampling, suffix_dedup, token_files, url_filters, url_labels
+from vouchsafe.llm import bpe, conversations, exact_dedup, knn, licenses, ngram_join, packing, pii, quality, resampling, suffix_dedup, token_files, url_filters, url_labels
 from vouchsafe.llm.catalog import ORACLES, QUERIES, pii_key, query, tokenizer_path  # noqa: F401
 from vouchsafe.llm.tables import table
 
@@ -152,3 +152,9 @@ URL_RULES = (
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = spark.createDataFrame(url_labels.labelled(), "url string, label int")
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filters.train(labelled))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.with_digests(rows, conversations.repaired_conversations(rows, dropped))
