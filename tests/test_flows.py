@@ -6,6 +6,7 @@ import json
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vouchsafe.operators import cascade
 from vouchsafe.operators import evaluation as ev
@@ -18,6 +19,7 @@ from vouchsafe.sources.files import read_grid, scan_files
 from vouchsafe.sources.gold import load_gold, load_manifest
 from vouchsafe.sources.reports import load_report, write_exports, write_report
 from vouchsafe.streaming import flows
+from vouchsafe.streaming.keyed import KeyedTable
 
 TODAY = dt.date(2026, 7, 25)
 
@@ -202,20 +204,115 @@ def test_reports_and_exports(spark, tmp_path):
     assert pd.read_csv(next((tmp_path / "out" / "t").glob("*.csv"))).iloc[0].tolist() == [text, " x "]
 
 
-def test_stream_ingest_equals_batch(spark, tmp_path):
-    landing, table = tmp_path / "landing", str(tmp_path / "documents")
+def drain(writer, state):
+    writer.option("checkpointLocation", str(state)).trigger(availableNow=True).start().awaitTermination()
+
+
+@pytest.mark.parametrize("named", [1000, 1])
+def test_stream_ingest_answers_repeats(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(flows, "NAMED_KEYS", named)
+    landing, table, answers = tmp_path / "landing", str(tmp_path / "documents"), str(tmp_path / "answers")
     landing.mkdir()
-    for name, body in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-1"), ("c.pdf", b"%PDF-2"), ("d.pdf", b"none")):
-        (landing / name).write_bytes(body)
-    def run():
-        writer = flows.stream_ingest_into(flows.stream_files(spark, str(landing)), table)
-        writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    run()
+    statuses = KeyedTable(str(tmp_path / "statuses"), StructType().add("doc_id", "string").add("status", "string"), ["doc_id"], buckets=4)
+
+    def run(**files):
+        for name, body in files.items():
+            (landing / f"{name}.pdf").write_bytes(body)
+        drain(flows.stream_ingest_into(flows.stream_files(spark, str(landing)), table, answers, statuses=statuses), tmp_path / "cp")
+        found = flows.read_results(spark, answers).collect()
+        return {r.file_id[-5:-4]: (r.doc_id[-5:-4], r.status, r.already_existed) for r in found}
+
+    assert run(a=b"%PDF-1", b=b"%PDF-1", c=b"%PDF-2", d=b"none") == {
+        "a": ("a", "uploaded", False), "b": ("a", "uploaded", True), "c": ("c", "uploaded", False)}
     assert flows.read_documents(spark, table).count() == 2
-    (landing / "e.pdf").write_bytes(b"%PDF-2")
-    (landing / "f.pdf").write_bytes(b"%PDF-3")
-    run()
-    assert flows.read_documents(spark, table).count() == 3
+    first = flows.read_documents(spark, table).where("name = 'a.pdf'").first().doc_id
+    statuses.merge(spark.createDataFrame([(first, "completed")], "doc_id string, status string"), 0)
+    found = run(e=b"%PDF-1", f=b"%PDF-3", g=b"%PDF-2")
+    assert {k: found[k] for k in "efg"} == {
+        "e": ("a", "completed", True), "f": ("f", "uploaded", False), "g": ("c", "uploaded", True)}
+    assert sorted(r.name for r in flows.read_documents(spark, table).collect()) == ["a.pdf", "c.pdf", "f.pdf"]
+
+
+def scanned_files(df):
+    """Files that the scans of an executed plan have read."""
+    df.collect()
+    counts = []
+
+    def walk(node):
+        if node.nodeName().startswith("Scan parquet"):
+            counts.append(node.metrics().apply("numFiles").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(counts)
+
+
+def test_lookup_reads_the_partitions_of_its_keys_only(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    rows = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("sha256")).selectExpr(
+        "concat(sha256, '.pdf') as object_key", "sha256 as doc_id", "'p' as path", "'n' as name", "1L as size_bytes", "sha256",
+        "'t' as content_type", "'uploaded' as status", "substring(sha256, 1, 2) as prefix", "0L as batch")
+    flows._replace(rows.repartition("prefix"), path, "prefix", "batch")
+    asked = rows.orderBy("object_key").limit(3).select("object_key", "prefix")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = flows.known_documents(spark, path, asked, 1)
+        assert 0 < scanned_files(found) <= asked.select("prefix").distinct().count() and found.count() == 3
+        assert flows.known_documents(spark, path, asked, 0).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_keyed_table_writes_changed_keys_only(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    schema = "doc_id long, status string, ts timestamp, is_correction boolean"
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    rows, table = [], None
+
+    def feed(new, broken=False):
+        nonlocal table
+        rows.extend(new)
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(source))
+        changes = flows.stream_status(stream)
+        table = KeyedTable(target, changes.schema, ["doc_id"], buckets=4, compact_after=3)
+        if broken:
+            def killed(batch, batch_id):
+                table.merge(batch, batch_id)
+                raise RuntimeError("killed after the write")
+            with pytest.raises(Exception, match="killed"):
+                drain(changes.writeStream.outputMode("update").foreachBatch(killed), tmp_path / "cp")
+        drain(flows.stream_into(changes, table), tmp_path / "cp")
+        want = {r.doc_id: r.status for r in flows.latest_status(spark.createDataFrame(rows, schema)).collect()}
+        assert {r.doc_id: r.status for r in table.read(spark).collect()} == want
+
+    feed([(i, "uploaded", t(0), False) for i in range(100)])
+    feed([(3, "completed", t(5), False), (200, "uploaded", t(5), False)])
+    feed([(3, "processing", t(6), False), (4, "failed", t(6), False)], broken=True)
+    feed([(3, "review_required", t(7), True)])
+    feed([(5, "completed", t(8), False)])
+    written = {r["_batch"]: r["count"] for r in spark.read.parquet(f"{target}/changes").groupBy("_batch").count().collect()}
+    assert written == {0: 100, 1: 2, 2: 2, 3: 1, 4: 1}
+    assert {r["_batch"] for r in spark.read.parquet(f"{target}/snapshots").collect()} == {3}
+    assert [tuple(r) for r in table.lookup(spark.createDataFrame([(3,), (77,), (900,)], "doc_id long")).orderBy("doc_id").collect()] == [
+        (3, "review_required"), (77, "uploaded")]
+
+
+def test_open_days_are_in_the_daily_counts(spark, tmp_path):
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts timestamp").parquet(source)
+    changes = flows.stream_daily_counts(stream)
+    table = KeyedTable(str(tmp_path / "table"), changes.schema, ["day"])
+    seen = []
+    for days in ([1, 1, 2], [2, 3], [1, 9]):
+        seen += days
+        spark.createDataFrame([(dt.datetime(2024, 1, d, 5),) for d in days], "ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        drain(flows.stream_into(changes, table), tmp_path / "cp")
+        assert {r.day.day: r.n_documents for r in table.read(spark).collect()} == {d: seen.count(d) for d in seen if d != 1 or days != [1, 9]} | (
+            {1: 2} if days == [1, 9] else {})  # the late row of day 1 is behind the watermark
 
 
 def test_stream_daily_counts_and_steps(spark, tmp_path):
