@@ -1,13 +1,16 @@
 """Model rounds, line matching, gold data, reports and streams on small fixtures."""
 
 import datetime as dt
+import itertools
 import json
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vouchsafe.functions.assignment import line_scores
 from vouchsafe.operators import cascade
 from vouchsafe.operators import evaluation as ev
 from vouchsafe.operators import guardrails as g
@@ -156,6 +159,40 @@ def test_reordered_lines_and_outcomes(spark):
     assert got["line_items[].vat_rate"] == (1, 0, 0, 1)
 
 
+def test_equal_lines_settle_only_what_no_assignment_betters(spark):
+    rng = random.Random(4)
+    pick = lambda xs: rng.choice(xs)
+    def line():
+        return (pick(["бумага", "ручка", "ручка синяя", None]), pick(["1", "2", None]), pick(["шт", "", None]), pick(["5", None]),
+                pick(["10", "10.0", "x", None]), pick(["20", "without_vat"]), None)
+    head = (None,) * 12
+    rows = []
+    for k in range(150):
+        e = [line() for _ in range(rng.randint(0, 4))]
+        a = [pick(e) if e and rng.random() < 0.6 else line() for _ in range(rng.randint(0, 4))]
+        if k % 3 == 0:
+            a = rng.sample(e, len(e)) + a[: k % 2]
+        rows.append((str(k), e, a))
+    expected = gold_side(spark, [(k, *head, e) for k, e, _ in rows])
+    actual = gold_side(spark, [(k, *head, a) for k, _, a in rows])
+    pairs = ev.pair_samples(expected, actual)
+    lists = [F.transform(F.col(side)["lines"], ev._comparable) for side in "ea"]
+    found = {r.sample_id: r for r in ev.match_lines(pairs.withColumn("settled", ev.settled_pairs(*lists)), 0.0).collect()}
+    scores = {}
+    for r in pairs.select("sample_id", lists[0].alias("e"), lists[1].alias("a")).collect():
+        scores[r.sample_id] = line_scores([x.asDict() for x in r.e], [x.asDict() for x in r.a], {})[0]
+    settled = 0
+    for key, r in found.items():
+        s = scores[key]
+        short = s if s.shape[0] <= s.shape[1] else s.T
+        best = max((sum(short[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(short.shape[1]), short.shape[0])), default=0)
+        assert abs(sum(p.score for p in r.matched) - best) < 1e-9
+        assert len({p.e for p in r.matched}) == len({p.a for p in r.matched}) == len(r.matched) == min(s.shape)
+        assert all(abs(s[p.e, p.a] - p.score) < 1e-9 for p in r.matched)
+        settled += r.settled is not None
+    assert settled >= 50  # these rows reach the solver without lines
+
+
 def test_hot_key_helpers_agree_with_plain_forms(spark):
     facts = spark.range(2000).selectExpr("id", "case when id % 3 = 0 then 'hot' else cast(id % 50 as string) end as k",
                                          "timestamp_ntz '2024-01-01 00:00:00' + interval '1' minute * (id % 700) as ts")

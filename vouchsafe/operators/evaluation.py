@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vouchsafe import fixed_values as fv
-from vouchsafe.functions.assignment import assign_lines
-from vouchsafe.functions.compare import Comparator, default_comparators, exact_equal
+from vouchsafe.functions.assignment import PAIRS, assign_lines
+from vouchsafe.functions.compare import Comparator, default_comparators, exact_equal, name_similarity
 from vouchsafe.functions.text import normalize_name
-from vouchsafe.operators.rows import rows_of
+from vouchsafe.operators.rows import let, once, rows_of
 from vouchsafe.settings import LINE_THRESHOLD, NAME_THRESHOLD
 
 COUNTS = ("matches", "misses", "hallucinations", "mismatches")
@@ -84,11 +84,75 @@ def _comparable(line: Column) -> Column:
     )
 
 
+def line_similarity(expected: Column, actual: Column) -> Column:
+    """Weighted agreement of two lines: the name by its ratio, the rest by equality; only what is expected counts."""
+    left, right = _comparable(expected), _comparable(actual)
+    weight = score = F.lit(0.0)
+    for name, value in fv.LINE_WEIGHTS.items():
+        there = left[name].isNotNull()
+        if name == "name":
+            part = F.coalesce(name_similarity(expected["name"], actual["name"]), F.lit(0.0))
+        else:
+            part = F.coalesce((left[name] == right[name]) & ((left[name] != "") | F.lit(name == "unit")), F.lit(False)).cast("double")
+        weight = weight + F.when(there, value).otherwise(0.0)
+        score = score + F.when(there, part * value).otherwise(0.0)
+    return F.when(weight > 0, score / weight).otherwise(0.0)
+
+
+def _own_score(line: Column) -> Column:
+    """What a line scores against an equal one, the most that it can score against any."""
+    weight = score = F.lit(0.0)
+    for name, value in fv.LINE_WEIGHTS.items():
+        there = line[name].isNotNull()
+        equals = there if name in ("name", "unit") else there & (line[name] != "")
+        weight = weight + F.when(there, value).otherwise(0.0)
+        score = score + F.when(equals, value).otherwise(0.0)
+    return F.when(weight > 0, score / weight).otherwise(0.0)
+
+
+def settled_pairs(expected: Column, actual: Column) -> Column:
+    """The best pairs where equal lines alone give them, else null; both lists are in comparable form.
+
+    Equal lines are paired in order. No assignment is better when each line of the shorter side has a partner and
+    scores the most that is possible: an expected line never scores more than against an equal one, and no line
+    scores more than 1. Documents without a line on either side have no pairs.
+    """
+
+    def numbered(lines: Column) -> Column:  # each line with the number of equal ones before it
+        return F.transform(lines, lambda x, i: F.struct(
+            x.alias("line"), F.size(F.filter(F.slice(lines, 1, i), lambda y: y.eqNullSafe(x))).alias("nth")))
+
+    def pairs(e: Column, a: Column) -> Column:
+        found = F.transform(e, lambda x, i: F.struct(
+            i.alias("e"), (F.array_position(a, x) - 1).cast("int").alias("a"), _own_score(x["line"]).alias("score"),
+            F.when(x["line"]["name"].isNotNull(), F.lit(1.0)).alias("name_ratio")))
+        return F.filter(found, lambda p: p["a"] >= 0)
+
+    def judged(found: Column) -> Column:
+        full = F.forall(found, lambda p: p["score"] == 1.0)
+        all_expected = F.size(found) == F.size(expected)
+        all_actual = (F.size(found) == F.size(actual)) & full
+        return F.when(all_expected | all_actual, found)
+
+    both = (F.coalesce(F.size(expected), F.lit(0)) > 0) & (F.coalesce(F.size(actual), F.lit(0)) > 0)
+    paired = let(numbered(expected), lambda e: let(numbered(actual), lambda a: pairs(e, a)))
+    return F.when(both, let(paired, judged)).otherwise(F.array().cast(PAIRS))
+
+
 def match_lines(pairs: DataFrame, threshold: float = LINE_THRESHOLD) -> DataFrame:
-    """Add ``matched``: the best one-to-one line pairs that reach the threshold."""
-    found = assign_lines(F.transform(F.col("e")["lines"], _comparable), F.transform(F.col("a")["lines"], _comparable))
-    return pairs.withColumn("_pairs", found).withColumn(
-        "matched", F.filter("_pairs", lambda p: p["score"] >= threshold)).drop("_pairs")
+    """Add ``matched``: the best one-to-one line pairs that reach the threshold.
+
+    Documents that equal lines settle get their pairs here; the lines of the others go to the solver.
+    """
+    lines = once(
+        pairs, _le=F.transform(F.col("e")["lines"], _comparable), _la=F.transform(F.col("a")["lines"], _comparable),
+    )
+    settled = once(lines, _settled=settled_pairs(F.col("_le"), F.col("_la")))
+    open_ = F.col("_settled").isNull()
+    solved = assign_lines(F.when(open_, F.col("_le")), F.when(open_, F.col("_la")))
+    return settled.withColumn("_solved", solved).withColumn(
+        "matched", F.filter(F.coalesce("_settled", "_solved"), lambda p: p["score"] >= threshold),
+    ).drop("_le", "_la", "_settled", "_solved")
 
 
 def matched_pairs(matched: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -144,19 +208,7 @@ def evaluate_documents(
     table = default_comparators(name_threshold) if comparators is None else comparators
     pairs = match_lines(scalar_outcomes(pair_samples(expected, actual, sample), table), line_threshold)
     scored = line_outcomes(pairs, name_threshold, table)
-    everything = scored.withColumn("outcomes", F.concat("scalars", "line_fields"))
-
-    def count(entries: Column, field: str, verdict: str) -> Column:
-        return F.size(F.filter(entries, lambda o: (o["field"] == field) & (o["outcome"] == verdict))).cast("bigint")
-
-    def row(field: str, entries: str) -> Column:
-        counts = [count(F.col(entries), field, v).alias(name) for v, name in _OUTCOME_OF.items()]
-        return F.struct(F.lit(field).alias("field"), *counts)
-
-    scalars = [row(p, "scalars") for p in fv.EVAL_SCALARS]
-    lines = [row(f"line_items[].{n}", "line_fields") for n in fv.EVAL_LINE_FIELDS]
-    rows = F.when(F.size("line_fields") > 0, F.array(*scalars, *lines)).otherwise(F.array(*scalars))
-    return rows_of(everything, [sample], rows)
+    return count_outcomes(rows_of(scored, [sample], F.concat("scalars", "line_fields")), sample, "field")
 
 
 def count_outcomes(outcomes: DataFrame, *keys: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from vouchsafe import fixed_values as fv
 from vouchsafe.functions import text as tx
+from vouchsafe.operators.rows import let
 from vouchsafe.schemas import BBOX, SOURCE, SOURCES
 from vouchsafe.settings import MAX_IMAGE_MEGAPIXELS, MAX_PAGES, MAX_RENDER_MEGAPIXELS, RENDER_DPI
 
@@ -302,7 +303,7 @@ def index_entries(pages: Column) -> Column:
         def of_table(t: Column) -> Column:
             joined = F.transform(t["rows"], lambda r: F.array_join(F.filter(r, lambda c: c != ""), " "))
             return F.transform(
-                F.filter(joined, lambda row: tx.strip(row) != ""), lambda row: _index_entry(p, row, t["bbox"]),
+                F.filter(joined, tx.has_text), lambda row: _index_entry(p, row, t["bbox"]),
             )
 
         rows = F.flatten(F.transform(p["tables"], of_table))
@@ -346,12 +347,18 @@ def source_index_rows(layouts: DataFrame) -> DataFrame:
 
 
 def _first_hit(value: Column, haystack: Column) -> Column:
-    """Position in the haystack of the first spelling that occurs, 0 or null without one."""
+    """Position in the haystack of the first spelling that occurs, 0 without one; later spellings aren't searched."""
     needles = F.filter(
         F.transform(tx.value_variants(value), tx.normalize_evidence_text), lambda n: F.char_length(n) >= 2,
     )
-    places = F.filter(F.transform(needles, lambda n: F.instr(haystack, n)), lambda p: p > 0)
-    return F.get(places, F.lit(0))
+    return F.aggregate(needles, F.lit(0), lambda place, n: F.when(place > 0, place).otherwise(F.instr(haystack, n)))
+
+
+def _lines_before(haystack: Column, place: Column) -> Column:
+    """Line feeds before a place: the index of the entry that stands there."""
+    return let(
+        F.substr(haystack, F.lit(1), place), lambda before: F.char_length(before) - F.char_length(F.translate(before, "\n", "")),
+    )
 
 
 def link_evidence(nested: DataFrame, index: DataFrame) -> DataFrame:
@@ -368,10 +375,10 @@ def link_evidence(nested: DataFrame, index: DataFrame) -> DataFrame:
     )
 
     def linked(f: Column) -> Column:
-        # the hit is computed once per field and handed on through a one-element list
-        hit = F.array(_first_hit(f["value"], F.col("haystack")))
-        found = F.get(F.transform(hit, lambda place: F.get(
-            F.col("refs"), F.regexp_count(F.substr(F.col("haystack"), F.lit(1), place), F.lit("\n")))), F.lit(0))
+        found = let(
+            _first_hit(f["value"], F.col("haystack")),
+            lambda place: F.when(place > 0, F.get(F.col("refs"), _lines_before(F.col("haystack"), place))),
+        )
         needs = f["value"].isNotNull() & (F.coalesce(F.size(f["sources"]), F.lit(0)) < 1)
         evidence = F.array(F.coalesce(found, F.col("fallback"), default).cast(SOURCE))
         return F.struct(

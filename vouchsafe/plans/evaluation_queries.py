@@ -126,9 +126,18 @@ def _(spark, d):
     return e.field_outcomes(expected(spark, d), actual(spark, d))
 
 
-@query("j7_line_similarity")
+GIVEN_PAIRS = """transform(
+      filter(sequence(0, size(e.lines)), i -> i < size(e.lines) and not (sample_id % 7 = 0 and i = 0)),
+      i -> named_struct('e', i, 'a', cast(case sample_id % 7 when 0 then i - 1 when 5 then size(e.lines) - 1 - i else i end as int),
+        'score', 1.0D, 'name_ratio', case when get(e.lines, i).name is not null then 1.0D end))"""
+
+
+@query("j7_line_similarity", "select sample_id, idx, cast(round(score, 6) as decimal(18,6)) as score from x_pairs", ("x_pairs",))
 def _(spark, d):
-    return e.matched_pairs(e.match_lines(e.pair_samples(expected(spark, d), actual(spark, d)), threshold=0.0))
+    # the seeded edits say which lines belong together
+    pairs = e.pair_samples(expected(spark, d), actual(spark, d)).withColumn("given", F.expr(GIVEN_PAIRS))
+    lines = rows_of(pairs.select("sample_id", F.expr("transform(given, p -> named_struct('idx', p.e, 'le', get(e.lines, p.e), 'la', get(a.lines, p.a)))").alias("g")), ["sample_id"], "g")
+    return lines.select("sample_id", "idx", F.round(e.line_similarity(F.col("le"), F.col("la")), 6).cast("decimal(18,6)").alias("score"))
 
 
 @query("j8_match_lines")
@@ -136,6 +145,23 @@ def _(spark, d):
     return e.matched_pairs(e.match_lines(e.pair_samples(expected(spark, d), actual(spark, d))))
 
 
+#: A line's score against an equal one, and with an amount that no longer agrees.
+WEIGHT = " + ".join(f"case when {n} is not null then {w}::double else 0 end" for n, w in fv.LINE_WEIGHTS.items())
+EQUAL = " + ".join(
+    f"case when {f'{n} is not null' if n in ('name', 'unit') else f'try_cast({n} as decimal(38,10)) is not null'} then {w}::double else 0 end"
+    for n, w in fv.LINE_WEIGHTS.items())
+view("x_pairs", ("fx_items",), f"""
+select doc_id as sample_id, idx, case when weight > 0 then (same - case when doc_id % 7 = 1 and idx = 0 and try_cast(amount as decimal(38,10)) is not null and try_cast(amount as decimal(38,10)) <> 1.11 then 0.2::double else 0 end) / weight else 0 end as score
+from (select *, {WEIGHT} as weight, {EQUAL} as same from fx_items) where not (doc_id % 7 = 0 and idx = 0)""")
+
+
+@query("j8_match_totals", f"""
+select sample_id, count(*) as n_pairs, cast(round(sum(score), 6) as decimal(18,6)) as total from x_pairs where score >= {e.LINE_THRESHOLD} - 1e-9 group by 1""", ("x_pairs",))
+def _(spark, d):
+    pairs = e.matched_pairs(e.match_lines(e.pair_samples(expected(spark, d), actual(spark, d))))
+    return pairs.groupBy("sample_id").agg(F.count("*").alias("n_pairs"), F.round(F.sum("score"), 6).cast("decimal(18,6)").alias("total"))
+
+
 def _line_outcomes() -> str:
     parts = []
     for name in fv.EVAL_LINE_FIELDS:
@@ -154,18 +180,41 @@ def _line_outcomes() -> str:
 view("x_lines", ("fx_items", "fx_docs"), _line_outcomes())
 
 
+def _all_outcomes() -> str:
+    """Outcomes of whole documents: pairs below the threshold are a lost and an invented line."""
+    below = f"(select sample_id from x_pairs where score < {e.LINE_THRESHOLD} - 1e-9)"
+    low = f"exists (select 1 from x_pairs p where p.sample_id = i.doc_id and p.idx = i.idx and p.score < {e.LINE_THRESHOLD} - 1e-9)"
+    parts = ["select * from x_scalars", f"select * from x_lines where sample_id not in {below}"]
+    for name in fv.EVAL_LINE_FIELDS:
+        field = f"'line_items[].{name}'"
+        act = "'1.11'" if name == "amount" else f"cast({name} as varchar)"
+        exp = f"cast({name} as varchar)"
+        equal = {"amount": f"try_cast({exp} as decimal(38,10)) = 1.11", "name": "trim(name) <> ''", "vat_rate": "try_cast(vat_rate as decimal(38,10)) is not null"}.get(name, "true")
+        changed = f"case when idx = 0 then {_outcome(exp, act, f'coalesce({equal}, false)')} else {_outcome(exp, exp, 'true' if name == 'amount' else f'coalesce({equal}, false)')} end"
+        mine = f"doc_id % 7 = 1 and doc_id in {below}"
+        parts += [
+            f"select doc_id, {field}, {changed} from fx_items i where {mine} and not {low}",
+            f"select doc_id, {field}, case when {name} is null then 'none' else 'miss' end from fx_items i where {mine} and {low}",
+            f"select doc_id, {field}, case when {act} is null then 'none' else 'hallucination' end from fx_items i where {mine} and {low}",
+        ]
+    return " union all ".join(parts)
+
+
+view("x_outcomes", ("x_scalars", "x_lines", "x_pairs", "fx_items"), _all_outcomes())
+
+
 @query("j9_line_outcomes", "select sample_id, field, outcome, count(*) as n from x_lines group by all", ("x_lines",))
 def _(spark, d):
     pairs = e.pair_samples(expected(spark, d), actual(spark, d))
     # pairs are given: the seeded edits say which lines belong together
-    given = pairs.withColumn("matched", F.expr("""transform(
-      filter(sequence(0, size(e.lines)), i -> i < size(e.lines) and not (sample_id % 7 = 0 and i = 0)),
-      i -> named_struct('e', i, 'a', cast(case sample_id % 7 when 0 then i - 1 when 5 then size(e.lines) - 1 - i else i end as int),
-        'score', 1.0D, 'name_ratio', case when get(e.lines, i).name is not null then 1.0D end))"""))
+    given = pairs.withColumn("matched", F.expr(GIVEN_PAIRS))
     return rows_of(e.line_outcomes(given), ["sample_id"], "line_fields").groupBy("sample_id", "field", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("j10_evaluate_documents")
+@query("j10_evaluate_documents", """
+select sample_id, field, count(*) filter (outcome = 'match') as matches, count(*) filter (outcome = 'miss') as misses,
+  count(*) filter (outcome = 'hallucination') as hallucinations, count(*) filter (outcome = 'mismatch') as mismatches
+from x_outcomes group by all""", ("x_outcomes",))
 def _(spark, d):
     return e.evaluate_documents(expected(spark, d), actual(spark, d))
 
