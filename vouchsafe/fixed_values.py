@@ -161,6 +161,12 @@ LINE_WEIGHTS = {
     "name": 0.50, "amount": 0.20, "quantity": 0.10, "unit_price": 0.10, "unit": 0.05, "vat_rate": 0.05,
 }
 
+# --- fixed values: names of line values that exports understand, first wins ----
+LINE_NAMES = {
+    "name": ("name",), "unit": ("unit", "unit_name"), "quantity": ("quantity", "qty"), "unit_price": ("unit_price", "price"),
+    "amount": ("amount", "subtotal"), "vat_rate": ("vat_rate",), "vat_amount": ("vat_amount",), "total": ("total", "total_amount"),
+}
+
 # --- fixed values: dashboard queues -----------------------------------------
 QUEUES = {
     "Нужно проверить": ("review_required",),

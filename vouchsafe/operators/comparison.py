@@ -61,13 +61,19 @@ def compare_runs(metrics: DataFrame, headers: DataFrame, run_a: str, run_b: str)
     return fields.where(F.coalesce(allowed.scalar(), F.lit(False))).orderBy("field")
 
 
+def moved_fields(metrics: DataFrame, headers: DataFrame, run_a: str, run_b: str, step: float = 0.01) -> DataFrame:
+    """(field, f1_a, f1_b, delta, direction) of the fields whose F1 moved by ``step`` or more, in order of the name."""
+    f1 = lambda s: f1_column(F.col(f"precision_{s}"), F.col(f"recall_{s}"))
+    fields = compare_runs(metrics, headers, run_a, run_b).select("field", f1("a").alias("f1_a"), f1("b").alias("f1_b"))
+    moved = fields.withColumn("delta", delta(F.col("f1_b"), F.col("f1_a"))["diff"]).where(F.abs("delta") >= step)
+    return moved.withColumn("direction", F.when(F.col("delta") > 0, "improved").otherwise("degraded")).orderBy("field")
+
+
 def compare_runs_summary(metrics: DataFrame, headers: DataFrame, run_a: str, run_b: str, step: float = 0.01) -> DataFrame:
     """One row: cost, duration and accuracy of A and B, and how many field F1 values moved."""
-    fields = compare_runs(metrics, headers, run_a, run_b)
-    f1 = lambda s: f1_column(F.col(f"precision_{s}"), F.col(f"recall_{s}"))
-    moved = fields.select(delta(f1("b"), f1("a"))["diff"].alias("d"))
+    moved = moved_fields(metrics, headers, run_a, run_b, step)
     counts = moved.agg(
-        F.count_if(F.col("d") >= step).alias("n_improved"), F.count_if(F.col("d") <= -step).alias("n_degraded"))
+        F.count_if(F.col("direction") == "improved").alias("n_improved"), F.count_if(F.col("direction") == "degraded").alias("n_degraded"))
     side = lambda run, s: headers.where(F.col("run_id").cast("string") == run).agg(
         F.max("cost_usd").alias(f"cost_{s}"), F.max("duration_seconds").alias(f"duration_{s}"),
         F.max("accuracy").alias(f"accuracy_{s}"))

@@ -15,7 +15,7 @@ from vouchsafe import fixed_values as fv
 from vouchsafe.functions.assignment import PAIRS, assign_lines
 from vouchsafe.functions.compare import Comparator, default_comparators, exact_equal, name_similarity
 from vouchsafe.functions.text import normalize_name
-from vouchsafe.operators.rows import let, once, rows_of
+from vouchsafe.operators.rows import cut, let, once, rows_of
 from vouchsafe.settings import LINE_THRESHOLD, NAME_THRESHOLD
 
 COUNTS = ("matches", "misses", "hallucinations", "mismatches")
@@ -268,10 +268,12 @@ def _all_or_nothing(column: str) -> Column:
     return F.when(F.count(column) == F.count("*"), F.sum(column))
 
 
-def run_report(samples: DataFrame, run: str = "run_id") -> DataFrame:
+def run_report(samples: DataFrame, run: str = "run_id", steps: DataFrame | None = None) -> DataFrame:
     """Totals per run; token and cost sums are unknown as soon as one sample's is.
 
-    A sample that made no call (``called`` false) used 0 tokens and cost 0.
+    A sample that made no call (``called`` false) used 0 tokens and cost 0. ``steps`` (run, step, seconds,
+    first_started_at: a row a step of a run) adds ``step_duration_totals``, a map in order of the steps' first
+    start; a run without measurements has an empty one.
     """
     quiet = ~F.col("called")
     counted = samples.select(
@@ -280,7 +282,7 @@ def run_report(samples: DataFrame, run: str = "run_id") -> DataFrame:
         F.when(quiet, 0).otherwise(F.col("output_tokens")).alias("output_tokens"),
         F.when(quiet, F.lit(0).cast("decimal(32,12)")).otherwise(F.col("cost_usd")).alias("cost_usd"),
     )
-    return counted.groupBy(run).agg(
+    report = counted.groupBy(run).agg(
         F.count("*").alias("sample_count"),
         F.count_if(F.col("status") == "succeeded").alias("succeeded_count"),
         F.count_if(F.col("status") == "failed").alias("failed_count"),
@@ -290,14 +292,20 @@ def run_report(samples: DataFrame, run: str = "run_id") -> DataFrame:
         F.sum("duration_seconds").cast("decimal(28,6)").alias("total_duration_seconds"),
         _share(F.sum("duration_seconds"), F.count("*")).alias("average_duration_seconds"),
     )
+    if steps is None:
+        return report
+    ordered = F.sort_array(F.collect_list(F.struct("first_started_at", "step", "seconds")))
+    totals = steps.groupBy(run).agg(F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["step"], e["seconds"]))).alias("step_duration_totals"))
+    return report.join(totals, run, "left").withColumn(
+        "step_duration_totals", F.coalesce("step_duration_totals", F.create_map().cast("map<string,decimal(18,6)>")))
 
 
-def sample_results(samples: DataFrame, metrics: DataFrame, run: str = "run_id") -> DataFrame:
+def sample_results(samples: DataFrame, metrics: DataFrame, run: str = "run_id", *, message_width: int | None = None) -> DataFrame:
     """List form of the samples with their pooled accuracy."""
     accuracy = micro_accuracy(metrics, run, "sample_id").withColumnRenamed("micro_accuracy", "accuracy")
     return samples.join(accuracy, [run, "sample_id"], "left").select(
         run, "sample_id", "status", "duration_seconds", "input_tokens", "output_tokens", "cost_usd",
-        "error_type", F.substring("error_message", 1, 2000).alias("error_message"), "accuracy",
+        "error_type", cut(F.col("error_message"), message_width).alias("error_message"), "accuracy",
     )
 
 

@@ -9,7 +9,7 @@ from vouchsafe import fixed_values as fv
 from vouchsafe.functions.identifiers import literal_map
 from vouchsafe.functions.numbers import amount_in_words, dec, russian_date
 from vouchsafe.operators.guardrails import rule_label
-from vouchsafe.operators.rows import rows_of
+from vouchsafe.operators.rows import let, rows_of
 
 MONEY = "decimal(18,2)"
 
@@ -32,6 +32,48 @@ def line_total(amount: Column, vat: Column, total: Column | None = None) -> Colu
     return summed if total is None else F.coalesce(total, summed)
 
 
+def item_value(item: Column, *names: str) -> Column:
+    """Value of a loose line (map of text) under the first of its names that is there, even if that is null."""
+    found = F.lit(None).cast("string")
+    for name in reversed(names):
+        found = F.when(F.map_contains_key(item, name), F.try_element_at(item, F.lit(name))).otherwise(found)
+    return found
+
+
+def loose_line(item: Column) -> Column:
+    """A loose line in typed form: other names are understood, text that is no number is none, ``total`` is its own."""
+    number = lambda n, kind: item_value(item, *fv.LINE_NAMES[n]).try_cast(kind)
+    text = lambda n: item_value(item, *fv.LINE_NAMES[n])
+    return F.struct(
+        text("name").alias("name"), text("unit").alias("unit"), number("quantity", "decimal(18,6)").alias("quantity"),
+        number("unit_price", MONEY).alias("unit_price"), number("amount", MONEY).alias("amount"), text("vat_rate").alias("vat_rate"),
+        number("vat_amount", MONEY).alias("vat_amount"), number("total", MONEY).alias("total"),
+    )
+
+
+def loose_positions(docs: DataFrame, items: str = "items") -> DataFrame:
+    """As ``export_positions``, for lines that come as maps of text, with their own totals where they have one."""
+
+    def row(x: Column, i: Column) -> Column:
+        return let(loose_line(x), lambda v: F.struct(
+            (i + 1).alias("no"), *[v[n].alias(n) for n in ("name", "unit", "quantity", "unit_price", "amount")],
+            rate_fraction(v["vat_rate"]).alias("vat_fraction"), F.when(v["vat_rate"] == "without_vat", fv.WITHOUT_VAT_LABEL).alias("vat_label"),
+            v["vat_amount"].alias("vat_amount"), line_total(v["amount"], v["vat_amount"], v["total"]).alias("total"),
+        ))
+
+    return rows_of(completed(docs), ["doc_id"], F.transform(items, row))
+
+
+def loose_totals(docs: DataFrame, items: str = "items") -> DataFrame:
+    """Sums of loose lines: net amounts, VAT, and totals, each line's own before the derived one."""
+    return completed(docs).withColumn("_v", F.transform(items, loose_line)).select(
+        "doc_id",
+        _sum_lines(F.transform("_v", lambda v: v["amount"])).alias("subtotal"),
+        _sum_lines(F.transform("_v", lambda v: v["vat_amount"])).alias("vat_total"),
+        _sum_lines(F.transform("_v", lambda v: line_total(v["amount"], v["vat_amount"], v["total"]))).alias("grand_total"),
+    )
+
+
 def rate_fraction(rate: Column) -> Column:
     number = rate.try_cast("decimal(9,4)")
     return F.when(number > 1, (number * dec("0.01", 3, 2)).cast("decimal(9,4)")).otherwise(number)

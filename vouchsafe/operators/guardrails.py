@@ -17,7 +17,7 @@ from vouchsafe.functions.identifiers import inn_valid
 from vouchsafe.functions.numbers import dec, half_even, rate_percent, rounding_tolerance
 from vouchsafe.functions.text import party_key
 from vouchsafe.operators.fields import scalar_pointer
-from vouchsafe.operators.rows import once, rows_of
+from vouchsafe.operators.rows import cut, once, rows_of
 from vouchsafe.schemas import LINE_TYPES, PARTIES, SCALAR_TYPES, VIOLATION
 from vouchsafe.settings import GuardrailSettings
 
@@ -246,12 +246,12 @@ def guardrail_summary(
     )
 
 
-def make_review_tasks(violations: DataFrame) -> DataFrame:
+def make_review_tasks(violations: DataFrame, *, path_width: int | None = None, reason_width: int | None = None) -> DataFrame:
     """One pending task per violation; such tasks carry the message, not the rule code."""
     return violations.select(
         "doc_id",
-        F.substring("field_path", 1, 512).alias("field_path"),
-        F.substring("message", 1, 1000).alias("reason"),
+        cut(F.col("field_path"), path_width).alias("field_path"),
+        cut(F.col("message"), reason_width).alias("reason"),
         F.lit("pending").alias("status"),
         F.col("actual").alias("original_value"),
     )

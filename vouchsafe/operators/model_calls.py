@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from vouchsafe.functions.identifiers import cache_key
 from vouchsafe.functions.numbers import dec
 from vouchsafe.operators.fields import field_array, fields_of
-from vouchsafe.operators.rows import lookup_join, newest_rows, rank_within
+from vouchsafe.operators.rows import cut, lookup_join, newest_rows, rank_within
 from vouchsafe.operators.validation import parse_results, validate_fields
 from vouchsafe.session import settle
 from vouchsafe.settings import MAX_MODEL_ATTEMPTS, SCHEMA_VERSION
@@ -292,8 +292,8 @@ def finalize_extractions(
     )
 
 
-def record_failures(errors: DataFrame) -> DataFrame:
-    """(doc_id, stage, message) -> failed status with a stable code.
+def record_failures(errors: DataFrame, *, code_width: int | None = None, message_width: int | None = None) -> DataFrame:
+    """(doc_id, stage, message) -> failed status with a stable code; a store with fixed columns names their widths.
 
     Stages: ``provider`` and ``schema`` of the model, ``text`` for reading; others keep their name.
     """
@@ -305,8 +305,8 @@ def record_failures(errors: DataFrame) -> DataFrame:
     )
     return errors.select(
         "doc_id", F.lit("failed").alias("status"),
-        F.substring(code, 1, 64).alias("error_code"),
-        F.substring("message", 1, 2000).alias("error_message"),
+        cut(code, code_width).alias("error_code"),
+        cut(F.col("message"), message_width).alias("error_message"),
     )
 
 

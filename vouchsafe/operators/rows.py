@@ -56,7 +56,7 @@ def lookup_join(
 def rank_within(
     df: DataFrame, keys: Sequence[str], coarse: Column, order: Sequence[Column], name: str,
 ) -> DataFrame:
-    """``row_number`` per key without ever sorting a whole key in one task.
+    """``row_number`` per key (long: a key may have any number of rows) without ever sorting a whole key in one task.
 
     ``coarse`` grows with the first order column. Rows are ranked inside (key, coarse) and shifted
     by the counts of the earlier coarse values, which are aggregated before they are windowed.
@@ -69,11 +69,16 @@ def rank_within(
     return (
         marked.withColumn("_local", F.row_number().over(local))
         .join(offsets, [*keys, "_coarse"])
-        .withColumn(name, (F.col("_before") + F.col("_local")).cast("int"))
+        .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_coarse", "_local", "_before")
     )
 
 
+def cut(text: Column, width: int | None) -> Column:
+    """The text, or its first ``width`` characters."""
+    return text if width is None else F.substring(text, 1, width)
+
+
 def newest_rows(df: DataFrame, n: int, levels: Sequence[Column]) -> DataFrame:
     """The first ``n`` rows in descending order of ``levels``, exactly, whatever ``n`` is.
 

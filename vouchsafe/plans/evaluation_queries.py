@@ -317,9 +317,16 @@ def _(spark, d):
     return e.macro_accuracy(metrics(spark, d), "run_id")
 
 
-@query("j16_run_report", "select * from reports", ("reports",))
+@query("j16_run_report", """
+select r.*, coalesce(s.steps, '') as step_durations from reports r left join (
+  select run_id, string_agg(concat(step, '=', cast(seconds as varchar)), ';' order by first_started_at, step) as steps from run_steps group by run_id) s using (run_id)""",
+       ("reports", "run_steps"))
 def _(spark, d):
-    return e.run_report(samples(spark, d))
+    from vouchsafe.operators import model_calls as m
+    from vouchsafe.plans.model_queries import steps
+    report = e.run_report(samples(spark, d), steps=m.merge_step_durations(steps(spark, d)))
+    listed = F.transform(F.map_entries("step_duration_totals"), lambda s: F.concat(s["key"], F.lit("="), s["value"].cast("string")))
+    return report.withColumn("step_durations", F.array_join(listed, ";")).drop("step_duration_totals")
 
 
 @query("j17_sample_results", """
@@ -380,6 +387,15 @@ def _(spark, d):
     return c.compare_runs_summary(metrics(spark, d), runs, RUN_A, RUN_B)
 
 
+@query("j22_moved_fields", f"""
+select field, a.f1 as f1_a, b.f1 as f1_b, b.f1 - a.f1 as delta, case when b.f1 > a.f1 then 'improved' else 'degraded' end as direction
+from (select * from scores where run_id = '{RUN_A}') a join (select * from scores where run_id = '{RUN_B}') b using (field) where abs(b.f1 - a.f1) >= 0.01""",
+       ("scores",))
+def _(spark, d):
+    runs = full_runs(spark, d).withColumnRenamed("total_duration_seconds", "duration_seconds")
+    return c.moved_fields(metrics(spark, d), runs, RUN_A, RUN_B)
+
+
 PER_DOC = "cast(cast(cost_usd as double) / nullif(sample_count, 0) as decimal(20,9))"
 
 

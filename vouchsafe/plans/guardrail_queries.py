@@ -138,7 +138,7 @@ def _(spark, d):
 
 @query("e12_review_tasks", "select * from v_tasks", ("v_tasks",))
 def _(spark, d):
-    return g.make_review_tasks(g.evaluate_guardrails(views.documents(spark, d), S))
+    return g.make_review_tasks(g.evaluate_guardrails(views.documents(spark, d), S), path_width=512, reason_width=1000)
 
 
 @query("e13_route_documents", """

@@ -232,11 +232,11 @@ def _(spark, d):
 
 @query("d15_record_failures", """
 select doc_id, 'failed' as status, substr(case source when 'src1' then 'provider_error' when 'src2' then 'schema_validation_failed'
-  when 'src3' then 'text_extraction_failed' else concat(source, repeat('x', 70)) end, 1, 64) as error_code, substr(text, 1, 2000) as error_message from documents""")
+  when 'src3' then 'text_extraction_failed' else concat(source, repeat('x', 70)) end, 1, 64) as error_code, text as error_message from documents""")
 def _(spark, d):
     errors = table(spark, d, "documents").selectExpr("doc_id", "text as message", """
       case source when 'src1' then 'provider' when 'src2' then 'schema' when 'src3' then 'text' else concat(source, repeat('x', 70)) end as stage""")
-    return m.record_failures(errors)
+    return m.record_failures(errors, code_width=64)
 
 
 @query("d16_step_durations", f"""

@@ -132,13 +132,14 @@ def _(spark, d):
         "extraction_id", "field_path", "reason", "status", "original_value")
 
 
-COMPLETION = "select o_orderkey as extraction_id, o_orderkey % 2 = 0 as confirm from {orders} where o_orderkey % 5 < 3"
+# every document, and as many numbers that no document has
+COMPLETION = "select o_orderkey as extraction_id, o_orderkey % 2 = 0 as confirm from {orders} union all select -o_orderkey, true from {orders}"
 
 
 @query("g7_complete_review", """
 select q.extraction_id, coalesce(n, 0) as issues, case when b.status is null then 'unknown_document' when b.status <> 'review_required' then 'not_in_review' end as refused,
-  b.status = 'review_required' and (coalesce(n, 0) = 0 or confirm) as completed from (
-  select o_orderkey as extraction_id, o_orderkey % 2 = 0 as confirm from orders where o_orderkey % 5 < 3) q
+  coalesce(b.status = 'review_required' and (coalesce(n, 0) = 0 or confirm), false) as completed from (
+  select o_orderkey as extraction_id, o_orderkey % 2 = 0 as confirm from orders union all select -o_orderkey, true from orders) q
 left join b_docs b on b.doc_id = q.extraction_id left join (select extraction_id, count(*) as n from g_violations group by extraction_id) v on v.extraction_id = q.extraction_id""",
        ("b_docs", "g_violations"))
 def _(spark, d):
@@ -271,6 +272,14 @@ def _(spark, d):
     return fl.rows_of(done, ["doc_id"], "fields").select("doc_id", "path", "value", "confidence")
 
 
+@query("f6_corrected_documents", """
+select d.doc_id, case when c.doc_id is not null then c.value else d.number end as number from fx_docs d left join (
+  select * from f_corrections where path = '/number') c on c.doc_id = d.doc_id""", ("fx_docs", "f_corrections"))
+def _(spark, d):
+    done = cs.corrected_documents(nested(spark, d), corrections(spark, d))
+    return done.select("doc_id", F.col("number.value").alias("number"))
+
+
 @query("f7_field_provenance", """
 select f.doc_id, f.path, case when p.path is not null then 'large' else 'small' end as model from fx_fields f left join f_pairs p on p.doc_id = f.doc_id and p.path = f.path""",
        ("fx_fields", "f_pairs"))
@@ -303,6 +312,31 @@ def _(spark, d):
     return ex.export_positions(views.documents(spark, d))
 
 
+# lines as maps of text: other names, own totals, and totals that are no number
+LOOSE = """transform(line_items, (x, i) -> map_filter(map_from_arrays(
+    case when i % 2 = 0 then array('name', 'unit_name', 'qty', 'price', 'subtotal', 'vat_rate', 'vat_amount', 'total_amount', 'amount_words')
+      else array('name', 'unit', 'quantity', 'unit_price', 'amount', 'vat_rate', 'vat_amount', 'total', 'note') end,
+    array(x.name.value, x.unit.value, cast(x.quantity.value as string), cast(x.unit_price.value as string), cast(x.amount.value as string),
+      cast(x.vat_rate.value as string), cast(x.vat_amount.value as string), case i % 3 when 0 then concat(i, '7.25') when 1 then 'сто' end, 'x')),
+    (k, v) -> not (k = 'total' and i % 5 = 0)))"""
+OWN_TOTAL = "coalesce(case when idx % 3 = 0 and not (idx % 2 = 1 and idx % 5 = 0) then cast(concat(idx, '7.25') as decimal(18,2)) end, " + LINE_TOTAL + ")"
+
+
+@query("k1_loose_positions", f"""
+select doc_id, idx + 1 as no, name, unit, quantity, cast(unit_price as decimal(18,2)) as unit_price, amount,
+  case when try_cast(vat_rate as decimal(9,4)) > 1 then cast(try_cast(vat_rate as decimal(9,4)) * cast(0.01 as decimal(3,2)) as decimal(9,4)) else try_cast(vat_rate as decimal(9,4)) end as vat_fraction,
+  case when vat_rate = 'without_vat' then '{fv.WITHOUT_VAT_LABEL}' end as vat_label, vat_amount, {OWN_TOTAL} as total from k_items""", ("k_items",))
+def _(spark, d):
+    return ex.loose_positions(views.documents(spark, d).withColumn("items", F.expr(LOOSE)))
+
+
+@query("k2_loose_totals", f"""
+select doc_id, cast(sum({ZERO.format(c='amount')}) as decimal(18,2)) as subtotal, cast(sum({ZERO.format(c='vat_amount')}) as decimal(18,2)) as vat_total,
+  cast(sum({ZERO.format(c=OWN_TOTAL)}) as decimal(18,2)) as grand_total from k_items group by doc_id""", ("k_items",))
+def _(spark, d):
+    return ex.loose_totals(views.documents(spark, d).withColumn("items", F.expr(LOOSE)))
+
+
 @query("k2_export_totals", f"""
 select doc_id, cast(sum({ZERO.format(c='amount')}) as decimal(18,2)) as subtotal, cast(sum({ZERO.format(c='vat_amount')}) as decimal(18,2)) as vat_total,
   cast(sum({ZERO.format(c=LINE_TOTAL)}) as decimal(18,2)) as grand_total from k_items group by doc_id""", ("k_items",))
