@@ -1,7 +1,7 @@
 """Jaccard self-join of documents on word n-grams.
 
 Documents with the same set of n-grams are one class and take part once. A class's n-grams are ordered rare
-first (by counts of hashed buckets over the whole corpus, then by hash); two sets that are similar enough
+first (by millions of hashed counters over the whole corpus, then by hash); two sets that are similar enough
 share an n-gram in a short prefix of that order. Prefix n-grams that occur twice give candidates, which
 must pass the length filter, the positional filter (what can still match behind the shared n-gram) and the
 suffix filter (a lower bound of the symmetric difference from the sets' spread over fixed parts of the hash
@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from vouchsafe.llm.graph import components
 from vouchsafe.llm.tables import spread, whole_text, written
 
-#: Buckets of the corpus counts that make the order rare first. A fixed size: any order gives right results.
-BUCKETS = 1 << 16
+#: Saturating counters of the corpus counts that make the order rare first. Any order gives right results; with
+#: fewer counters than a fraction of the n-grams, those of middling count mix with the rare ones and make lists longer.
+BUCKETS = 1 << 22
+#: Counters in a row while the tasks' counts are summed, and such rows that are summed together.
+CHUNK, TOGETHER = 1 << 16, 64
+MOST = np.iinfo(np.uint16).max
 #: Parts of the hash space of the suffix filter: a short form beside each candidate, a longer one for each pair.
 OUTLINE, PARTS = 64, 256
 #: Members, drawn by hash, that what is still apart is tried against before it is paired.
@@ -72,17 +76,17 @@ def _parts_of(hashes: np.ndarray) -> bytes:
 
 
 def _sets(words: int):
-    """Rows of kind 0: a document's key, size and parts. Rows of kind 1: a task's counts of buckets."""
-    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "outline", "bucket", "times"]
+    """Rows of kind 0: a document's key, size and parts. Rows of kind 1: a task's counters, in chunks."""
+    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "outline", "chunk", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.uint32)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             size, cls, keys, parts, outline = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
-                counts += np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(counts, (found & np.uint64(BUCKETS - 1)).astype(np.int64), 1)  # distinct n-grams of a text
                 short, key = _class_of(found)
                 size.append(len(found))
                 cls.append(short)
@@ -95,21 +99,45 @@ def _sets(words: int):
                 batch.column(2), pa.array(size, pa.int32()),
                 pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary()),
                 pa.array(outline, pa.list_(pa.int8())),
-                pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()),
+                pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=names)
             row += m
-        at = np.flatnonzero(counts)
-        none = lambda kind: pa.nulls(len(at), kind)
+        chunks = [c for c in range(BUCKETS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
+        none = lambda kind: pa.nulls(len(chunks), kind)
+        times = [np.minimum(counts[c * CHUNK : (c + 1) * CHUNK], MOST).astype("<u2").tobytes() for c in chunks]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(len(at), np.int32)), none(pa.int64()), none(pa.int64()), none(pa.int64()),
-            none(pa.int32()), none(pa.int64()),
-            none(pa.binary()), none(pa.binary()), none(pa.list_(pa.int8())), pa.array(at.astype(np.int32)), pa.array(counts[at]),
+            pa.array(np.ones(len(chunks), np.int32)), pa.array(np.full(len(chunks), TaskContext.get().partitionId(), np.int64)),
+            none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()),
+            none(pa.binary()), none(pa.binary()), none(pa.list_(pa.int8())), pa.array(chunks, pa.int32()), pa.array(times, pa.binary()),
         ], names=names)
 
     return run
 
 
-_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, outline array<tinyint>, bucket int, times long"
+_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, outline array<tinyint>, chunk int, times binary"
+
+
+def _sum_chunks(table: pa.Table) -> pa.Table:
+    total = np.zeros(CHUNK, np.uint32)
+    for raw in table.column("times"):
+        total += np.frombuffer(raw.as_buffer(), "<u2")
+        np.minimum(total, MOST, out=total)
+    part, chunk = table.column("part")[0], table.column("chunk")[0]
+    return pa.table({"part": [part.as_py()], "chunk": pa.array([chunk.as_py()], pa.int32()), "times": pa.array([total.astype("<u2").tobytes()], pa.binary())})
+
+
+def _all_counts(counted: DataFrame, tasks: int) -> np.ndarray:
+    """Sums of the tasks' chunks (part, chunk, times), in rounds of TOGETHER parts; BUCKETS counters come to the driver."""
+    while tasks > 1:
+        counted = counted.withColumn("part", F.floor(F.col("part") / TOGETHER).cast("long")).groupBy("part", "chunk").applyInArrow(
+            _sum_chunks, "part long, chunk int, times binary")
+        tasks = -(-tasks // TOGETHER)
+        if tasks > 1:
+            counted = written(counted, "ngram-counts")
+    times = np.zeros(BUCKETS, np.uint16)
+    for r in counted.collect():
+        times[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["times"], "<u2")
+    return times
 
 
 def _prefixes(words: int, num: int, den: int, counts):
@@ -242,11 +270,9 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     texts = spread(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key")))
     passed = written(texts.mapInArrow(_sets(words), _SETS), "ngram-sets")
     sets = passed.where("kind = 0")
-    # at most BUCKETS rows
-    counted = passed.where("kind = 1").groupBy("bucket").agg(F.sum("times").alias("times")).collect()
-    times = np.zeros(BUCKETS, np.int64)
-    for r in counted:
-        times[r["bucket"]] = r["times"]
+    times = _all_counts(
+        passed.where("kind = 1").select(F.col("row").alias("part"), "chunk", "times"), texts.rdd.getNumPartitions(),
+    )
     classes = written(
         sets.where("n > 0").groupBy("cls", "key").agg(
             F.min("row").alias("node"), F.min(_place()).alias("place"), F.min_by("doc_id", "row").alias("text_of"),
