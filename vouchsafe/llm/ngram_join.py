@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchsafe.llm.graph import components
-from vouchsafe.llm.tables import spread, whole_text, written
+from vouchsafe.llm.tables import one_of_repeated, spread, unused, whole_text, written
 
 #: Saturating counters of the corpus counts that make the order rare first. Any order gives right results; with
 #: fewer counters than a fraction of the n-grams, those of middling count mix with the rare ones and make lists longer.
@@ -250,18 +250,15 @@ def ngram_components(docs: DataFrame, words: int = 4, num: int = 85, den: int =
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; texts without words all stay.
+    """The rows of ``docs`` that are kept, with all their columns, whatever these are called; texts without words all stay.
 
-    Rows that repeat both doc_id and text are one row of the result.
+    Rows that repeat both doc_id and text are one row of the result, the one with the smallest hash of its columns.
     """
-    kept = _components(docs, words, num, den).where("kept").select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_kept_key"),
-    )
-    marked = docs.withColumn("_text_key", F.xxhash64(whole_text("text")))
-    stay = marked.join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_kept_key")), "left_semi",
-    )
-    return stay.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    text_key, key, kept_key, kept_id = unused(docs, "_text_key", "_key", "_kept_key", "_kept_id")
+    kept = _components(docs, words, num, den).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
+    marked = docs.withColumns({text_key: F.xxhash64(whole_text("text")), key: F.col("doc_id")})
+    stay = marked.join(kept, F.col(key).eqNullSafe(F.col(kept_id)) & (F.col(text_key) == F.col(kept_key)), "left_semi")
+    return one_of_repeated(stay, docs.columns, [key, text_key])
 
 
 def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -22,8 +22,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Documents that are encoded together in a task.
 GROUP = 256
-#: Parts in which a length is ranked, so that one length of very many pieces is no single task.
-PARTS = 64
+#: Parts in which a length is ranked, at least; and pieces in a part, so that one length of very many pieces has more.
+PARTS, PART_ROWS = 64, 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -122,9 +122,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.createDataFrame(
         plan_slots(counts, capacity), "length long, first_rank long, slots long, first_sequence long, offset long",
     )
+    parts = max(PARTS, -(-max(counts.values(), default=0) // PART_ROWS))
     ranked = rank_within(
-        pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)), [F.col("doc_id"), F.col("piece")], "_rank",
-    ).withColumn("_rank", F.col("_rank").cast("long") - 1)
+        pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)), [F.col("doc_id"), F.col("piece")], "_rank",
+    ).withColumn("_rank", F.col("_rank") - 1)
     plan = F.broadcast(slots.withColumnRenamed("length", "_length"))
     here = (
         (F.col("length") == F.col("_length"))

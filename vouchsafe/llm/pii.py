@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vouchsafe.llm.tables import unused
 from vouchsafe.operators.rows import let, once
 
 ROUNDS = 8
@@ -375,34 +376,35 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
     still has the form, which every form keeps.
     """
     there = F.col(f"`{text}`")
+    matches, marks = unused(docs, "_matches", "_marked")
     hit = F.coalesce(there.rlike(QUICK), F.lit(False))
     empty = F.array().cast("array<string>")
     found = once(
         docs,
-        _matches=F.when(hit, F.regexp_extract_all(there, F.lit(ANY), F.lit(0))).otherwise(empty),
+        **{matches: F.when(hit, F.regexp_extract_all(there, F.lit(ANY), F.lit(0))).otherwise(empty)},
     )
-    marked = once(found, _marked=F.transform("_matches", marked_value))
+    marked = once(found, **{marks: F.transform(matches, marked_value)})
     between = F.split(there, ANY, -1)
     rebuilt = F.concat(
         F.element_at(between, 1),
         F.array_join(
-            F.transform("_marked", lambda m, i: F.concat(
+            F.transform(marks, lambda m, i: F.concat(
                 pseudonym(m, key, back), F.coalesce(F.get(between, i + 1), F.lit("")),
             )),
             "",
         ),
     )
-    changed = F.when(F.exists("_marked", lambda m: m["kind"].isNotNull()), rebuilt).otherwise(there)
+    changed = F.when(F.exists(marks, lambda m: m["kind"].isNotNull()), rebuilt).otherwise(there)
     out = {text: changed}
     if counts:
-        kinds = F.transform(F.filter("_marked", lambda m: m["kind"].isNotNull()), lambda m: m["kind"])
+        kinds = F.transform(F.filter(marks, lambda m: m["kind"].isNotNull()), lambda m: m["kind"])
         out[counts] = F.map_from_entries(F.transform(
             F.array_sort(F.array_distinct(kinds)),
             lambda k: F.struct(k, F.aggregate(
-                F.filter("_marked", lambda m: m["kind"] == k), F.lit(0).cast("long"), lambda a, m: a + m["n"],
+                F.filter(marks, lambda m: m["kind"] == k), F.lit(0).cast("long"), lambda a, m: a + m["n"],
             )),
         ))
-    return marked.withColumns(out).drop("_matches", "_marked")
+    return marked.withColumns(out).drop(matches, marks)
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:

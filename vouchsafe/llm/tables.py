@@ -27,6 +27,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores in front as it takes to be no column of ``df``."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def one_of_repeated(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """``columns`` of one row for each key: of rows that differ elsewhere the one with the smallest hash, in every run."""
+    plain = [c for c in columns if "map<" not in df.schema[c].dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    first = df.groupBy(*keys).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in plain])).alias("row"))
+    return first.select("row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null stays null."""
     return F.translate(text, UPPER, UPPER.lower())
