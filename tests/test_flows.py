@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vouchsafe.functions.assignment import line_scores
-from vouchsafe.operators import cascade
+from vouchsafe.operators import browse, cascade, dashboard
 from vouchsafe.operators import evaluation as ev
 from vouchsafe.operators import guardrails as g
 from vouchsafe.operators import model_calls as mc
@@ -391,3 +391,46 @@ def test_stream_process_writes_each_batch(spark, tmp_path):
     writer = flows.stream_process(files, lambda df: df.where("reason IS NULL").select("object_key", "name"), out, concurrency=2)
     writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert {r.name for r in spark.read.parquet(out).collect()} == {"a.pdf", "b.pdf"}
+
+
+@pytest.mark.parametrize("key,direction", [("uploaded_at", "desc"), ("file_name", "asc"), ("status", "desc"), ("status", "asc")])
+def test_cursors_walk_all_rows_once(spark, key, direction):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice(["x", None]), dt.datetime(2024, 1, rng.randint(1, 3))) for i in range(23)]
+    docs = spark.createDataFrame(rows, "doc_id long, file_name string, status string, created_at timestamp_ntz")
+    column = {"uploaded_at": "created_at"}.get(key, key)
+    want = [r.doc_id for r in browse.sort_documents(docs, key, direction).collect()]
+    seen, cursor = [], None
+    while page := browse.page_after(docs, cursor, key, direction, 5).collect():
+        seen += [r.doc_id for r in page]
+        cursor = (page[-1][column], page[-1]["doc_id"])
+    assert seen == want
+
+
+def test_pages_read_their_ranges_only(spark, tmp_path):
+    docs = spark.range(5000).selectExpr("id as doc_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 7919 % 1000 as int)) as created_at")
+    order = browse.sort_order("uploaded_at", "desc")
+    paged = browse.PagedTable(str(tmp_path / "pages"))
+    paged.write(docs, order, 20)
+    assert paged.total(spark) == 5000
+    want = [r.doc_id for r in docs.orderBy(*order).collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for page in (1, 2, 100, 199, 200):
+            found = paged.page(spark, docs.schema, order, page, 25)
+            assert [r.doc_id for r in found.collect()] == want[(page - 1) * 25 : page * 25]
+            assert 0 < scanned_files(paged.page(spark, docs.schema, order, page, 25)) <= 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert paged.page(spark, docs.schema, order, 201, 25).count() == 0
+
+
+@pytest.mark.parametrize("widest", [100_000, 10])
+def test_feed_refills_over_orphans(spark, monkeypatch, widest):
+    monkeypatch.setattr(dashboard, "WIDEST", widest)
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    tasks = spark.createDataFrame([(f"t{i:03}", i, t(i)) for i in range(300)], "task_id string, extraction_id long, created_at timestamp")
+    owners = spark.createDataFrame([(i, i * 10) for i in range(300) if i < 250 or i % 25 == 0], "extraction_id long, doc_id long")
+    found = [r.extraction_id for r in dashboard.newest_with_document(tasks, owners, 6).orderBy(F.desc("created_at")).collect()]
+    assert found == [275, 250, 249, 248, 247, 246]
+    assert dashboard.newest_with_document(tasks.limit(0), owners, 6).count() == 0

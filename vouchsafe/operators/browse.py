@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vouchsafe import fixed_values as fv
 from vouchsafe.functions.identifiers import literal_map
@@ -67,6 +71,61 @@ def paginate(rows: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:
     return rows.offset((max(1, page) - 1) * size).limit(size)
 
 
+def page_after(
+    rows: DataFrame, cursor: tuple[object, object] | None, key: str = "uploaded_at", direction: str = "desc", per_page: int = 25,
+) -> DataFrame:
+    """The page behind a cursor (sort value and doc_id of the last row seen; none for the first page).
+
+    The cursor becomes a filter that reaches the scan, so a deep page costs what the first one does.
+    """
+    size = min(100, max(5, per_page))
+    column, ident = F.col(SORT_KEYS.get(key, "created_at")), F.col("doc_id")
+    if cursor is not None:
+        value, last = cursor
+        later = ident > F.lit(last)
+        if value is None:  # nulls are first upwards and last downwards
+            behind = column.isNull() & later
+            behind = behind | column.isNotNull() if direction == "asc" else behind
+        elif direction == "asc":
+            behind = (column > F.lit(value)) | ((column == F.lit(value)) & later)
+        else:
+            behind = column.isNull() | (column < F.lit(value)) | ((column == F.lit(value)) & later)
+        rows = rows.where(behind)
+    return sort_documents(rows, key, direction).limit(size)
+
+
+@dataclass(frozen=True)
+class PagedTable:
+    """An ordered relation stored in ranges, with the number of rows in each, so that any page reads one or two of them."""
+
+    path: str
+
+    def write(self, rows: DataFrame, order: Sequence[Column], ranges: int) -> None:
+        """Store ``rows`` in ``ranges`` pieces of about equal size; ``order`` must be total."""
+        dealt = rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+        dealt.sortWithinPartitions("_range", *order).write.mode("overwrite").partitionBy("_range").parquet(f"{self.path}/rows")
+        stored = rows.sparkSession.read.schema(dealt.schema).parquet(f"{self.path}/rows")
+        counts = stored.groupBy("_range").agg(F.count("*").alias("n"))
+        # as many rows as there are ranges
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ranges")
+
+    def _ranges(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("_range int, n bigint, first bigint").parquet(f"{self.path}/ranges")
+
+    def total(self, spark: SparkSession) -> int:
+        return self._ranges(spark).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def page(self, spark: SparkSession, schema: StructType, order: Sequence[Column], page: int = 1, per_page: int = 25) -> DataFrame:
+        """Rows of one page in order; the ranges that hold none of it aren't listed."""
+        size = min(100, max(5, per_page))
+        start = (max(1, page) - 1) * size
+        touched = self._ranges(spark).where((F.col("first") < start + size) & (F.col("first") + F.col("n") > start)).collect()  # size at most
+        stored = spark.read.schema(StructType([*schema.fields]).add("_range", "integer")).parquet(f"{self.path}/rows")
+        near = stored.where(F.col("_range").isin([r["_range"] for r in touched])).drop("_range")
+        return near.orderBy(*order).offset(start - min((r["first"] for r in touched), default=start)).limit(size)
+
+
 def count_rows(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"))
 

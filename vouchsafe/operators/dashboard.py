@@ -11,6 +11,7 @@ from vouchsafe import fixed_values as fv
 from vouchsafe.functions.numbers import delta
 from vouchsafe.operators.browse import latest_rows, type_label
 from vouchsafe.operators.guardrails import rule_label
+from vouchsafe.session import settle
 
 
 def _moment(value: dt.datetime) -> Column:
@@ -54,6 +55,29 @@ def recent_documents(docs: DataFrame, extractions: DataFrame, k: int = 5) -> Dat
     return newest.join(latest_rows(mine), "doc_id", "left")
 
 
+#: Tasks that are looked at for the feed before all of them are joined.
+WIDEST = 100_000
+
+
+def newest_with_document(tasks: DataFrame, extractions: DataFrame, k: int) -> DataFrame:
+    """The newest ``k`` tasks whose extraction exists, with its doc_id.
+
+    The newest tasks are taken first and only they are joined; where orphans leave gaps, more are taken. The join
+    gets ``k`` tasks as a rule, and all of them only behind more than WIDEST orphans.
+    """
+    order = [F.desc("created_at"), F.asc("task_id")]
+    owners = extractions.select("extraction_id", "doc_id")
+    n = k
+    while n <= WIDEST:
+        first = settle(tasks.orderBy(*order).limit(n))
+        mine = settle(owners.join(F.broadcast(first.select("extraction_id").distinct()), "extraction_id", "left_semi"))
+        found = first.join(F.broadcast(mine), "extraction_id")  # n rows at most on either side
+        if found.count() >= k or first.count() < n:
+            return found.orderBy(*order).limit(k)
+        n *= 8
+    return tasks.join(owners, "extraction_id").orderBy(*order).limit(k)
+
+
 def event_feed(docs: DataFrame, runs: DataFrame, tasks: DataFrame, extractions: DataFrame, k: int = 12) -> DataFrame:
     """Newest uploads, runs and pending tasks; each source is cut before they are merged."""
     uploads = docs.orderBy(F.desc("created_at"), F.asc("doc_id")).limit(k).select(
@@ -66,16 +90,11 @@ def event_feed(docs: DataFrame, runs: DataFrame, tasks: DataFrame, extractions:
         F.concat_ws(" · ", F.nullif("strategy", F.lit("")), F.nullif("model", F.lit(""))).alias("subtitle"),
         F.coalesce("completed_at", "started_at").alias("created_at"), F.col("run_id").cast("string").alias("ref"),
     )
-    waiting = (
-        tasks.where(F.col("status") == "pending")
-        .join(extractions.select("extraction_id", "doc_id"), "extraction_id")
-        .orderBy(F.desc("created_at"), F.asc("task_id")).limit(k)
-        .select(
-            F.lit("guardrail").alias("kind"),
-            rule_label(F.coalesce("reason", F.lit("")), F.col("field_path")).alias("title"),
-            F.coalesce("reason", F.lit("правило не пройдено")).alias("subtitle"),
-            "created_at", F.col("doc_id").cast("string").alias("ref"),
-        )
+    waiting = newest_with_document(tasks.where(F.col("status") == "pending"), extractions, k).select(
+        F.lit("guardrail").alias("kind"),
+        rule_label(F.coalesce("reason", F.lit("")), F.col("field_path")).alias("title"),
+        F.coalesce("reason", F.lit("правило не пройдено")).alias("subtitle"),
+        "created_at", F.col("doc_id").cast("string").alias("ref"),
     )
     merged = uploads.unionByName(done).unionByName(waiting)
     return merged.orderBy(F.desc_nulls_last("created_at"), "kind", "ref", "title").limit(k)

@@ -333,8 +333,10 @@ def run_verdict(runs: DataFrame) -> DataFrame:
 
 
 def list_runs(runs: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
+    """One page of the runs, newest first, each row with the ``total`` of all runs."""
     ordered = runs.orderBy(F.desc("started_at"), F.asc("run_id"))
-    return ordered.offset(max(0, (page - 1) * per_page)).limit(per_page)
+    total = runs.agg(F.count("*").alias("total")).scalar()
+    return ordered.offset(max(0, (page - 1) * per_page)).limit(per_page).withColumn("total", total)
 
 
 def get_runs(runs: DataFrame, ids: list[str]) -> DataFrame:

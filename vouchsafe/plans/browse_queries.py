@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from vouchsafe.plans import views
 from vouchsafe.plans.oracle_views import view
 from vouchsafe.plans.registry import query
 from vouchsafe.plans.tables import table
+from vouchsafe.session import ensure_checkpoint_dir
 
 NOW = dt.datetime(2001, 8, 1)
 NOW_SQL = "timestamp '2001-08-01 00:00:00'"
@@ -123,6 +125,26 @@ def _(spark, d):
     return b.paginate(b.sort_documents(docs(spark, d), "unknown", "down"), 3, 25).select("doc_id", "file_name", "created_at")
 
 
+@query("h6_page_of_ranges", """
+select doc_id, file_name, created_at, (select count(*) from b_docs) as total from b_docs order by created_at desc, doc_id limit 25 offset (
+  select (count(*) // 50) * 25 from b_docs)""", ("b_docs",))
+def _(spark, d):
+    """A page in the middle of all documents."""
+    known = docs(spark, d)
+    paged = b.PagedTable(f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}")
+    order = b.sort_order("uploaded_at", "desc")
+    paged.write(known, order, 16)
+    total = paged.total(spark)
+    page = paged.page(spark, known.schema, order, total // 50 + 1, 25)
+    return page.select("doc_id", "file_name", "created_at", F.lit(total).alias("total"))
+
+
+@query("h6_page_after", "select doc_id, file_name, created_at from b_docs order by created_at desc, doc_id limit 25 offset 25", ("b_docs",))
+def _(spark, d):
+    last = b.page_after(docs(spark, d), None).collect()[-1]  # the page that the user has seen
+    return b.page_after(docs(spark, d), (last["created_at"], last["doc_id"])).select("doc_id", "file_name", "created_at")
+
+
 @query("h7_count_rows", "select count(*) as total from b_docs where status = 'review_required'", ("b_docs",))
 def _(spark, d):
     return b.count_rows(b.sort_documents(b.filter_documents(docs(spark, d), status="review_required")))

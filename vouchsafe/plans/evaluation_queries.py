@@ -431,9 +431,9 @@ def _(spark, d):
     return e.run_verdict(full_runs(spark, d)).select("run_id", "accuracy", "verdict")
 
 
-@query("j27_list_runs", "select run_id, strategy from headers order by started_at desc, run_id limit 10 offset 10", ("headers",))
+@query("j27_list_runs", "select run_id, strategy, (select count(*) from headers) as total from headers order by started_at desc, run_id limit 10 offset 10", ("headers",))
 def _(spark, d):
-    return e.list_runs(headers(spark, d), 2, 10).select("run_id", "strategy")
+    return e.list_runs(headers(spark, d), 2, 10).select("run_id", "strategy", "total")
 
 
 @query("j27_get_runs", f"select run_id, strategy from headers where run_id in ('{RUN_A}', '{RUN_B}')", ("headers",))
