@@ -18,6 +18,7 @@ from vouchsafe.functions.text import coerce_correction
 from vouchsafe.operators.fields import canonical_path, overlay_values
 from vouchsafe.operators.rows import rows_of
 from vouchsafe.operators.validation import validate_fields
+from vouchsafe.session import settle
 
 KEYS = ["extraction_id", "field_path"]
 TASK_COLUMNS = [
@@ -113,9 +114,12 @@ def reconcile_tasks(tasks: DataFrame, violations: DataFrame, scope: DataFrame, n
     """Bring open tasks in line with the violations of the documents in ``scope``.
 
     Open tasks of clean paths are resolved, the oldest open task of a violated path is refreshed,
-    a violated path without open task gets a new one.
+    a violated path without open task gets a new one. The violations are evaluated once.
     """
-    active = active_paths(violations)
+    return _reconcile(tasks, settle(active_paths(violations)), scope, now)
+
+
+def _reconcile(tasks: DataFrame, active: DataFrame, scope: DataFrame, now: dt.datetime) -> DataFrame:
     moment = F.lit(now).cast("timestamp_ntz")
     first_open = tasks.where(is_open(F.col("status"))).groupBy(*KEYS).agg(
         F.min_by("task_id", F.struct("created_at", "task_id")).alias("_first"))
@@ -177,15 +181,20 @@ def review_outcomes(docs: DataFrame, violations: DataFrame, requests: DataFrame)
 def complete_review(
     docs: DataFrame, tasks: DataFrame, violations: DataFrame, requests: DataFrame, now: dt.datetime,
 ) -> tuple[DataFrame, DataFrame]:
-    """Outcomes per request and the task table after it; refused requests change nothing."""
-    outcomes = review_outcomes(docs, violations, requests)
+    """Outcomes per request and the task table after it; refused requests change nothing.
+
+    The violations are evaluated once and kept as slim rows; so are the outcomes, which the task table needs twice.
+    """
+    violations = settle(violations.select("doc_id", "field_path", "rule", "message", "position", "actual", "blocking"))
+    outcomes = settle(review_outcomes(docs, violations, requests))
     accepted = outcomes.where("refused IS NULL")
     scope = accepted.select("extraction_id")
     scoped = violations.join(scope.withColumnRenamed("extraction_id", "doc_id"), "doc_id", "left_semi")
-    reconciled = reconcile_tasks(tasks, scoped, scope, now)
+    active = settle(active_paths(scoped))
+    reconciled = _reconcile(tasks, active, scope, now)
     moment = F.lit(now).cast("timestamp_ntz")
     confirmed = accepted.where("warnings_confirmed").select("extraction_id", F.col("issues").alias("_issues"))
-    hot = active_paths(scoped).select(*KEYS, F.lit(True).alias("_active"))
+    hot = active.select(*KEYS, F.lit(True).alias("_active"))
     joined = reconciled.join(confirmed, "extraction_id", "left").join(hot, KEYS, "left")
     close = F.coalesce(F.col("_issues").isNotNull() & F.col("_active") & is_open(F.col("status")), F.lit(False))
     closed = joined.select(

@@ -149,11 +149,33 @@ def _(spark, d):
     return outcomes.select("extraction_id", "issues", "refused", "completed")
 
 
-@query("g7_completed_tasks")
+view("g_accepted", ("b_docs", "g_violations"), """
+select q.o_orderkey as extraction_id, coalesce(n, 0) as issues, coalesce(n, 0) > 0 and q.o_orderkey % 2 = 0 as confirmed
+from orders q join b_docs b on b.doc_id = q.o_orderkey left join (select extraction_id, count(*) as n from g_violations group by 1) v on v.extraction_id = q.o_orderkey
+where b.status = 'review_required'""")
+view("g_reconciled", ("g_tasks", "g_violations", "g_open", "g_accepted"), f"""
+select t.extraction_id, t.field_path, v.reason is not null as active, coalesce(a.confirmed, false) as confirmed, t.original_value,
+  case when o.task_id is not null and v.reason is not null then v.reason else t.reason end as reason,
+  case when t.status in ('pending', 'in_progress') and a.extraction_id is not null and v.reason is null then 'resolved'
+    when o.task_id is not null and v.reason is not null then 'pending' else t.status end as status,
+  case when t.status in ('pending', 'in_progress') and a.extraction_id is not null and v.reason is null then '{fv.COMMENT_PASSED}'
+    when o.task_id is not null and v.reason is not null then null else t.resolution_comment end as resolution_comment
+from g_tasks t left join g_accepted a using (extraction_id) left join g_violations v on a.extraction_id is not null and v.extraction_id = t.extraction_id and v.field_path = t.field_path
+  left join g_open o on o.task_id = t.task_id
+union all select v.extraction_id, v.field_path, true, a.confirmed, v.actual, v.reason, 'pending', null from g_violations v join g_accepted a using (extraction_id)
+where not exists (select 1 from g_open o where o.extraction_id = v.extraction_id and o.field_path = v.field_path)""")
+
+
+@query("g7_completed_tasks", f"""
+select extraction_id, field_path, reason, original_value, case when confirmed and active and status in ('pending', 'in_progress') then 'resolved' else status end as status,
+  case when confirmed and active and status in ('pending', 'in_progress') then '{fv.COMMENT_CONFIRMED}' else resolution_comment end as resolution_comment from g_reconciled
+union all select extraction_id, '{fv.CONFIRMATION_PATH}', '{fv.CONFIRMATION_REASON}', '{fv.CONFIRMATION_ORIGINAL}', 'resolved',
+  concat('Пользователь подтвердил ', issues, ' расхождений') from g_accepted where confirmed""", ("g_reconciled", "g_accepted"))
 def _(spark, d):
     wanted = spark.sql(COMPLETION, orders=table(spark, d, "orders"))
     docs = bq.docs(spark, d).selectExpr("doc_id as extraction_id", "status", "true as has_result")
-    return r.complete_review(docs, tasks(spark, d), _violations(spark, d), wanted, NOW)[1]
+    done = r.complete_review(docs, tasks(spark, d), _violations(spark, d), wanted, NOW)[1]
+    return done.select("extraction_id", "field_path", "reason", "original_value", "status", "resolution_comment")
 
 
 FIELD_LABEL = "case path " + " ".join(f"when '/{k}' then '{t}'" for k, t in fv.FIELD_LABELS.items()) + " end"
