@@ -18,6 +18,7 @@ from vouchsafe.operators import model_calls as mc
 from vouchsafe.operators.rows import lookup_join, newest_rows, rank_within
 from vouchsafe.schemas import document_type
 from vouchsafe.settings import GuardrailSettings
+from vouchsafe.sources.answers import StoredCache
 from vouchsafe.sources.files import read_grid, scan_files
 from vouchsafe.sources.gold import load_gold, load_manifest
 from vouchsafe.sources.reports import load_report, write_exports, write_report
@@ -434,3 +435,32 @@ def test_feed_refills_over_orphans(spark, monkeypatch, widest):
     found = [r.extraction_id for r in dashboard.newest_with_document(tasks, owners, 6).orderBy(F.desc("created_at")).collect()]
     assert found == [275, 250, 249, 248, 247, 246]
     assert dashboard.newest_with_document(tasks.limit(0), owners, 6).count() == 0
+
+
+def test_stored_cache_is_joined_where_it_lies(spark, tmp_path):
+    schema = StructType().add("key", "string").add("document", "string").add("created_at", "timestamp_ntz")
+    t = lambda d: dt.datetime(2024, 1, d)
+    store = StoredCache(str(tmp_path / "cache"), schema, buckets=6)
+    assert store.read(spark).count() == 0
+    store.store(spark.createDataFrame([(f"k{i}", "old", t(1)) for i in range(50)], schema))
+    store.store(spark.createDataFrame([(f"k{i}", "new", t(2)) for i in range(0, 50, 2)], schema))
+    want = {(f"k{i}", "old" if i % 2 else "new") for i in range(50)}
+    assert {(r.key, r.document) for r in store.read(spark).collect()} == want
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('k', id % 80) as key")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mc.plan_keys(docs, store.read(spark))._jdf.queryExecution().executedPlan().toString()
+        cache_side = plan[plan.rindex("Join") :].split("Range (")[-1].split("\n", 1)[1]
+        assert "Scan parquet" in cache_side and "Bucketed: true" in cache_side and "Exchange" not in cache_side
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    actions = mc.plan_calls(docs, store.read(spark)).groupBy("action").count().collect()
+    assert {r.action: r["count"] for r in actions} == {"hit": 200, "call": 30, "share": 70}
+    store.compact(spark)
+    assert spark.table(store.name).count() == 50 and {(r.key, r.document) for r in store.read(spark).collect()} == want
+    store.compact(spark, max_entries=25)
+    assert {r.document for r in store.read(spark).collect()} == {"new"}
+    spark.sql(f"DROP TABLE {store.name}")
+    assert store.read(spark).count() == 25  # the files stay, another session finds them again

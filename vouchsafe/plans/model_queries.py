@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from vouchsafe.plans import views
 from vouchsafe.plans.oracle_views import view
 from vouchsafe.plans.registry import query
 from vouchsafe.plans.tables import table
+from vouchsafe.session import ensure_checkpoint_dir
+from vouchsafe.sources.answers import StoredCache
 
 PROMPT, MODEL = "v5", "qwen"
 
@@ -46,6 +49,29 @@ def _(spark, d):
     return m.plan_calls(keyed(spark, d), cached(spark, d))
 
 
+def stored(spark, d) -> StoredCache:
+    """The cache as a stored table: stale entries first, then the current ones, then compacted."""
+    entries = cached(spark, d)
+    store = StoredCache(f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}", entries.schema, buckets=16)
+    stale = entries.withColumns({"created_at": F.col("created_at") - F.expr("interval '1' day"), "document": F.lit("stale")})
+    store.store(stale)
+    store.store(entries)
+    store.compact(spark)
+    return store
+
+
+@query("m5_plan_calls_from_store", """
+select k.doc_id, k.key, case when c.key is not null then 'hit' when k.doc_id = min(k.doc_id) over (partition by k.key) then 'call' else 'share' end as action
+from keyed k left join cached c on c.key = k.key""", ("keyed", "cached"))
+def _(spark, d):
+    return m.plan_calls(keyed(spark, d), stored(spark, d).read(spark))
+
+
+@query("m5_stored_entries", "select key, created_at, document from cached", ("cached",))
+def _(spark, d):
+    return stored(spark, d).read(spark).select("key", "created_at", "document")
+
+
 @query("d2_pending_calls", """
 select key, min(doc_id) as leader, count(*) as copies from keyed where key not in (select key from cached) group by key""", ("keyed", "cached"))
 def _(spark, d):
