@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from vouchsafe.plans import views
 from vouchsafe.plans.oracle_views import view
 from vouchsafe.plans.registry import query
 from vouchsafe.plans.tables import table
+from vouchsafe.session import ensure_checkpoint_dir
+from vouchsafe.sources import reports
 
 # --- names and values ---------------------------------------------------------------
 NAME = "trim(regexp_replace(replace(lower({c}), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g'))"
@@ -338,6 +342,60 @@ def _(spark, d):
     return e.sample_results(rows, mine)
 
 
+RUN_A, RUN_B = "2024-01-02", "2024-01-08"
+REPORTED = (
+    "run_id", "cast(sample_id as string) as sample_id", "status", "duration_seconds", "cast(input_tokens as bigint) as input_tokens",
+    "cast(output_tokens as bigint) as output_tokens", "cost_usd",
+)
+REPORT_SQL = "select '3' as report_version, run_id, cast(sample_id as varchar) as sample_id, {status} as status, duration_seconds, input_tokens, output_tokens, cost_usd, 0 as n_steps{more} from samples"
+
+
+def _stored(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a8_report_round_trip", REPORT_SQL.format(status=f"case when run_id = '{RUN_A}' then 'failed' else status end", more=""), ("samples",))
+def _(spark, d):
+    """Runs are stored, one of them again with another outcome, and read back."""
+    path, rows = _stored(spark, "report"), samples(spark, d).selectExpr(*REPORTED)
+    reports.write_report(rows, path)
+    reports.write_report(rows.where(F.col("run_id") == RUN_A).withColumn("status", F.lit("failed")), path)
+    return reports.load_report(spark, path).select(
+        "report_version", "run_id", "sample_id", "status", "duration_seconds", "input_tokens", "output_tokens", "cost_usd",
+        F.size("step_durations").alias("n_steps"))
+
+
+@query("a8_one_run", REPORT_SQL.format(status="status", more="") + f" where run_id = '{RUN_B}'", ("samples",))
+def _(spark, d):
+    path = _stored(spark, "report")
+    reports.write_report(samples(spark, d).selectExpr(*REPORTED), path)
+    return reports.load_report(spark, path, RUN_B).select(
+        "report_version", "run_id", "sample_id", "status", "duration_seconds", "input_tokens", "output_tokens", "cost_usd",
+        F.size("step_durations").alias("n_steps"))
+
+
+@query("a9_strategy_report", REPORT_SQL.format(status="status", more=", 'cascade' as strategy"), ("samples",))
+def _(spark, d):
+    """Two strategies are stored side by side, one is read back."""
+    path, rows = _stored(spark, "strategies"), samples(spark, d).selectExpr(*REPORTED)
+    reports.write_strategy_report(rows, "cascade", path)
+    reports.write_strategy_report(rows.withColumn("status", F.lit("failed")), "cheap_only", path)
+    return reports.load_strategy_report(spark, path, "cascade").select(
+        "report_version", "run_id", "sample_id", "status", "duration_seconds", "input_tokens", "output_tokens", "cost_usd",
+        F.size("step_durations").alias("n_steps"), "strategy")
+
+
+@query("a10_exported_texts", "select doc_id, text, sha256(text) as digest from documents")
+def _(spark, d):
+    """Whole texts through delimited files and back, to the letter."""
+    path = _stored(spark, "export")
+    reports.write_exports({"texts": table(spark, d, "documents").select("doc_id", "text")}, path, fmt="csv")
+    read = spark.read.schema("doc_id bigint, text string").option("header", "true").option("multiLine", "true").option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").option("maxCharsPerColumn", "-1").option(
+        "emptyValue", "").option("nullValue", "\u0000").option("lineSep", "\n").csv(f"{path}/texts")
+    return read.select("doc_id", "text", F.sha2("text", 256).alias("digest"))
+
+
 @query("j18_run_errors", """
 select run_id, error_message as error from headers where error_message is not null
 union all select run_id, trim(concat(cast(sample_id as varchar), ': ', error_type, ' ', error_message)) from samples where status = 'failed'""",
@@ -357,7 +415,6 @@ def _(spark, d):
     return e.first_samples(samples(spark, d), 50).select("sample_id", "status")
 
 
-RUN_A, RUN_B = "2024-01-02", "2024-01-08"
 view("compared", ("ratios",), f"""
 select field, case when ma is null or mb is null then 'mixed' when best is null then 'unchanged' when best > 0 and worst < 0 then 'mixed'
     when best > 0 then 'improved' else 'regressed' end as status, * exclude (field, best, worst, ma, mb) from (
