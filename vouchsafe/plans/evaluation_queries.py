@@ -404,7 +404,10 @@ def _(spark, d):
     return e.run_errors(headers(spark, d), samples(spark, d))
 
 
-@query("j19_sample_key")
+@query("j19_sample_key", """
+select doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('5', substr(h, 14, 3)),
+  concat(substr('89ab', 1 + cast(concat('0x', substr(h, 17, 1)) as int) % 4, 1), substr(h, 18, 3)), substr(h, 21, 12)) as sample_key
+from (select doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat('accounting:v1:', doc_id))) as h from documents)""")
 def _(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", sample_key(F.lit("accounting"), F.lit("v1"), F.col("doc_id").cast("string")).alias("sample_key"))

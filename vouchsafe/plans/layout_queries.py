@@ -224,7 +224,26 @@ def _(spark, d):
     return ly.text_volume(pages(spark, d))
 
 
-@query("b9_page_source_ref")
+# a block's box as a pointer, null where it has no width; pointers of blocks and of the page's table
+BOX = "case when place % 7 <> 0 then {x1: 0.1::double, y1: round_even(place / 40, 4), x2: 0.9::double, y2: round_even((place + 1) / 40, 4)} end"
+KIND = "case when (doc_id + page_no - 1) % 5 = 0 then 'ocr' else 'pdf_text' end"
+POINTER = "{kind: " + KIND + ", page: page_no, bbox: {b}, sheet: null::varchar, cell_range: null::varchar, text: null::varchar}"
+BLOCK_REF, TABLE_REF = POINTER.replace("{b}", BOX), POINTER.replace("{b}", "{x1: 0.0::double, y1: 0.0::double, x2: 1.0::double, y2: 0.5::double}")
+view("l_layout", ("l_lines",), f"""
+select d.doc_id, coalesce(pages, []) as pages from documents d left join (
+  select doc_id, list({{number: page_no, label: null::varchar, blocks: blocks, tables: [{{rows: rows, source_ref: ref}}]}} order by page_no) as pages from (
+    select doc_id, page_no, list({{text: line, source_ref: {BLOCK_REF}}} order by place) as blocks, list(string_split(line, ' ') order by place) filter (place % 3 = 0) as rows,
+      {TABLE_REF} as ref from l_lines group by doc_id, page_no) group by doc_id) using (doc_id)""")
+view("l_raw", ("l_lines",), """
+select d.doc_id, coalesce(pages, []) as pages from documents d left join (
+  select doc_id, list({number: page_no, label: null::varchar, width: 595.0::double, height: 842.0::double, blocks: blocks,
+      tables: [{rows: rows, bbox: {x0: 0.0::double, y0: 0.0::double, x1: 1.0::double, y1: 0.5::double}, source: 'text'}], used_ocr: (doc_id + page_no - 1) % 5 = 0} order by page_no) as pages from (
+    select doc_id, page_no, list({text: line, bbox: {x0: 0.1::double, y0: place / 40, x1: case when place % 7 = 0 then 0.1::double else 0.9::double end, y1: (place + 1) / 40}, confidence: 1.0::double, source: 'text'} order by place) as blocks,
+      list(string_split(line, ' ') order by place) filter (place % 3 = 0) as rows from l_lines group by doc_id, page_no) group by doc_id) using (doc_id)""")
+
+
+@query("b9_page_source_ref", f"""
+select doc_id, cast(case when place % 7 <> 0 then to_json({{kind: {KIND}, page: page_no, bbox: {BOX}}}) else to_json({{kind: {KIND}, page: page_no}}) end as varchar) as source_ref from l_lines""", ("l_lines",))
 def _(spark, d):
     page = F.col("p")
     refs = rows_of(layouts(spark, d), ["doc_id", "media_type"], F.transform("pages", lambda p: F.struct(p.alias("p"))))
@@ -232,12 +251,13 @@ def _(spark, d):
     return blocks.select("doc_id", F.to_json(ly.page_source_ref(F.col("media_type"), page, F.col("bbox"))).alias("source_ref"))
 
 
-@query("b10_serialize_layout")
+@query("b10_serialize_layout", "select doc_id, cast(to_json({media_type: 'application/pdf', pages: pages}) as varchar) as layout_json from l_layout", ("l_layout",))
 def _(spark, d):
     return ly.serialize_layout(layouts(spark, d))
 
 
-@query("b11_content_fingerprint")
+@query("b11_content_fingerprint", """
+select doc_id, sha256(cast(to_json({media_type: 'application/pdf', used_ocr: len(list_filter(pages, lambda p: p.used_ocr)) > 0, pages: pages}) as varchar)) as content_hash from l_raw""", ("l_raw",))
 def _(spark, d):
     return ly.content_fingerprint(layouts(spark, d)).select("doc_id", "content_hash")
 
@@ -262,13 +282,15 @@ def _(spark, d):
 
 view("l_index", ("l_lines",), f"""
 select doc_id, row_number() over (partition by doc_id order by page_no, part, place) - 1 as index_pos, {EVIDENCE.format(c='line')} as haystack,
-  case when (doc_id + page_no - 1) % 5 = 0 then 'ocr' else 'pdf_text' end as kind, page_no as page from (
+  {KIND} as kind, page_no as page, cast(to_json(case when part = 1 then {{x1: 0.0::double, y1: 0.0::double, x2: 1.0::double, y2: 0.5::double}} else {BOX} end) as varchar) as bbox,
+  left(trim(regexp_replace(line, '[\\s\\p{{Z}}]+', ' ', 'g')), 500) as text from (
   select *, 0 as part from l_lines union all select *, 1 from l_lines where place % 3 = 0)""")
 
 
 @query("b14_source_index", "select * from l_index", ("l_index",))
 def _(spark, d):
-    return ly.source_index_rows(layouts(spark, d)).select("doc_id", "index_pos", "haystack", "ref.kind", "ref.page")
+    return ly.source_index_rows(layouts(spark, d)).select(
+        "doc_id", "index_pos", "haystack", "ref.kind", "ref.page", F.to_json("ref.bbox").alias("bbox"), "ref.text")
 
 
 VALUES = """
@@ -284,9 +306,10 @@ union all select doc_id, 1, '/total_amount', concat(cast(n_chars as varchar), '.
 
 
 @query("b15_link_evidence", """
-select v.doc_id, v.path, case when v.value is null then null else coalesce(h.kind, case when doc_id % 5 = 0 then 'ocr' else 'pdf_text' end) end as kind, case when v.value is null then null else coalesce(h.page, 1) end as page
+select v.doc_id, v.path, case when v.value is null then null else coalesce(h.kind, case when doc_id % 5 = 0 then 'ocr' else 'pdf_text' end) end as kind, case when v.value is null then null else coalesce(h.page, 1) end as page,
+  h.at.bbox as bbox, h.at.text as text
 from (select distinct doc_id, path, value from l_values) v left join (
-  select n.doc_id, n.path, arg_min(i.kind, n.variant * 1000000 + i.index_pos) as kind, arg_min(i.page, n.variant * 1000000 + i.index_pos) as page
+  select n.doc_id, n.path, arg_min(i.kind, n.variant * 1000000 + i.index_pos) as kind, arg_min(i.page, n.variant * 1000000 + i.index_pos) as page, arg_min({bbox: i.bbox, text: i.text}, n.variant * 1000000 + i.index_pos) as at
   from l_values n join l_index i on i.doc_id = n.doc_id and contains(i.haystack, n.needle) where length(n.needle) >= 2 group by n.doc_id, n.path) h using (doc_id, path)""",
        ("l_values", "l_index"))
 def _(spark, d):
@@ -298,4 +321,5 @@ def _(spark, d):
               element(2, "/currency", "case when doc_id % 2 = 0 then null else 'нигде' end")]
     nested = docs.selectExpr("doc_id", f"array({', '.join(values)}) as fields")
     linked = ly.link_evidence(nested, ly.build_source_index(layouts(spark, d)))
-    return rows_of(linked, ["doc_id"], "fields").selectExpr("doc_id", "path", "get(sources, 0).kind as kind", "get(sources, 0).page as page")
+    return rows_of(linked, ["doc_id"], "fields").selectExpr("doc_id", "path", "get(sources, 0).kind as kind", "get(sources, 0).page as page",
+                                                    "to_json(get(sources, 0).bbox) as bbox", "get(sources, 0).text as text")
