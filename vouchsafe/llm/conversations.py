@@ -42,8 +42,8 @@ BLOCK_BITS, NEIGHBOUR_BITS = 10, 6
 
 Paths = dict[int, tuple[int, str]]
 
-BLANK = r"^[\x20\x09-\x0D]*$"
-WHOLE = r"[.!?][\x20\x09-\x0D]*$"
+BLANK = r"^[\x20\x09-\x0D]*\z"
+WHOLE = r"[.!?][\x20\x09-\x0D]*\z"
 
 
 def _better(paths: Paths, top: int, cost: int, letters: str) -> bool:

@@ -154,7 +154,92 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filters.train(labelled))
 
 
-@query("op11_conversation_repair")
+def _repair_sql() -> str:
+    """The cheapest edits of each conversation, turn by turn, as a fold over its list of turns."""
+    far = 1_000_000_000_000  # the cost of a stack top that isn't reached
+
+    def on(top: str, cost: str, letter: str) -> str:
+        return f"{{c: {top}.c + {cost}, l: {top}.l || '{letter}'}}"
+
+    def best(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def only(test: str, way: str) -> str:
+        return f"CASE WHEN {test} THEN {way} ELSE {{c: CAST({far} AS BIGINT), l: ''}} END"
+
+    def closed(s: str) -> tuple[str, str, str, str]:
+        """The tops after insertions: a user turn behind any but a user turn, an answer behind that."""
+        user = best(f"{s}.u", on(f"{s}.b", "3", "I"), on(f"{s}.s", "3", "I"), on(f"{s}.p", "3", "I"))
+        return f"{s}.b", f"{s}.s", user, best(f"{s}.p", on(f"({user})", "3", "I"))
+
+    b, s_, u, p_ = closed("acc")
+    more = "CASE WHEN x.cut THEN 3 ELSE 0 END"
+    before = best(b, s_, p_)
+    step = f"""{{
+        b: {on(b, "4", "D")},
+        s: {best(on(s_, "4", "D"), only("NOT x.go AND x.i = 's'", on(b, more, "K")))},
+        u: {best(on(f"({u})", "4", "D"), only("NOT x.go AND x.i = 'u'", on(f"({before})", more, "K")), only("NOT x.go", on(f"({before})", f"3 + {more}", "R")))},
+        p: {best(on(f"({p_})", "4", "D"), only("NOT x.go AND x.i = 'a'", on(f"({u})", more, "K")), only("NOT x.go", on(f"({u})", f"3 + {more}", "R")))},
+        i: '', go: false, cut: false}}"""
+    none = f"{{c: CAST({far} AS BIGINT), l: ''}}"
+    start = f"{{b: {{c: CAST(0 AS BIGINT), l: ''}}, s: {none}, u: {none}, p: {none}, i: '', go: false, cut: false}}"
+    last = best("e.b", closed("e")[3])
+    return f"""
+    WITH crc_table AS MATERIALIZED (SELECT {CRC_TABLE} AS c),
+    k AS MATERIALIZED (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS name FROM conversations
+    ),
+    m AS (SELECT k.*, {crc_sql("name")} % 20 AS kind FROM k, crc_table),
+    r AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+        FROM m
+    ),
+    o AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+            sha256(concat_ws(':', coalesce('=' || conv_id, 'null'), length(role), role, text)), copy) AS pos FROM r
+    ),
+    f AS (
+        SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+               NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS cut,
+               CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS initial,
+               lag(CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier
+        FROM o
+    ),
+    g AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+               count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+               count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+               list({{b: {none}, s: {none}, u: {none}, p: {none}, i: initial, go: blank OR again, cut: cut}} ORDER BY pos) AS turns,
+               list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts
+        FROM f GROUP BY conv_id
+    ),
+    d AS (SELECT *, list_reduce(turns, lambda acc, x: {step}, {start}) AS e FROM g),
+    w AS (SELECT *, {last} AS best FROM d),
+    n AS (
+        SELECT *, string_split(best.l, '') AS ls, (length(best.l) - length(replace(best.l, 'D', ''))) AS gone,
+               length(replace(best.l, 'D', '')) % 2 AS system FROM w
+    ),
+    t AS (
+        SELECT *, list_transform(list_filter(range(1, length(best.l) + 1), lambda j: ls[j] <> 'D'), lambda j: {{
+            letter: ls[j], place: j - 1 - len(list_filter(ls[1:j - 1], lambda y: y = 'D')), nth: j - len(list_filter(ls[1:j], lambda y: y = 'I'))}}) AS made
+        FROM n
+    ),
+    z AS (
+        SELECT *, coalesce(list_aggregate(list_transform(made, lambda v: concat(
+            CASE WHEN v.letter = 'K' THEN roles[v.nth] WHEN system = 1 AND v.place = 0 THEN 'system' WHEN (v.place - system) % 2 = 0 THEN 'user' ELSE 'assistant' END,
+            ':', CASE WHEN v.letter = 'I' THEN '' ELSE texts[v.nth] END)), 'string_agg', chr(10)), '') AS repaired FROM t
+    )
+    SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.l, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+    """
+
+
+@query("op11_conversation_repair", _repair_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, dropped = conversations.damage(table(spark, sf_dir, "conversations"))
     return conversations.with_digests(rows, conversations.repaired_conversations(rows, dropped))
