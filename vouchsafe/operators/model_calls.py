@@ -257,7 +257,11 @@ def price_calls(calls: DataFrame, prices: DataFrame | Mapping[str, tuple[Decimal
     if isinstance(prices, Mapping):
         cost = call_cost(F.col("input_tokens"), F.col("output_tokens"), _price_column(prices, 0), _price_column(prices, 1))
         return calls.withColumn("cost_usd", cost)
-    joined = calls.join(prices.select("model", "input_price", "output_price"), "model", "left")
+    # few models make most calls: their rows are counted first and spread over tasks
+    plain = [f.name for f in calls.schema.fields if "map<" not in f.dataType.simpleString()]
+    counted = calls.groupBy("model").agg(F.count("*").alias("_copies"))
+    lookup = counted.join(prices.select("model", "input_price", "output_price"), "model", "left")
+    joined = lookup_join(calls, lookup, "model", copies="_copies", spread=plain).drop("_copies")
     cost = call_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_price"), F.col("output_price"))
     return joined.withColumn("cost_usd", cost).drop("input_price", "output_price")
 

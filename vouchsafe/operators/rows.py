@@ -42,11 +42,12 @@ def lookup_join(
 ) -> DataFrame:
     """Left join of ``facts`` with a relation unique by ``key`` that counts its facts in ``copies``.
 
-    Keys with more than ``hot_rows`` facts are spread over ``salts`` tasks by the ``spread`` columns.
+    Keys with more than ``hot_rows`` facts are spread over ``salts`` tasks by the ``spread`` columns, and so are
+    facts without a key, which match nothing.
     The list of hot keys is broadcast: it holds at most rows / hot_rows entries.
     """
     hot = lookup.where(F.col(copies) > hot_rows).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
+    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
     salted = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     every = F.when(F.col(copies) > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread_out = lookup.withColumn("_salt", F.explode(every))

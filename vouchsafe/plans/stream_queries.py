@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -88,21 +89,35 @@ def _(spark, d):
     return flows.read_results(spark, f"{base}/results").drop("batch")
 
 
+def _known(value: str | None) -> dict:
+    return {"value": value, "confidence": 0.9 if value else 0.0, "sources": [{"kind": "pdf_text", "page": 1}] if value else []}
+
+
+_PARTY = {"name": _known("ООО Ромашка"), "inn": _known("7707083893"), "kpp": _known(None)}
+#: An answer that the schema accepts.
+ACCEPTED = json.dumps({
+    "document_type": _known("payment_invoice"), "number": _known("42"), "date": _known("2026-07-25"), "supplier": _PARTY, "buyer": _PARTY,
+    "total_amount": _known("1200.00"), "vat_amount": _known("200.00"), "currency": _known("RUB"), "line_items": [],
+})
+
+
 def _echo_model(batches):
-    """Deterministic stand-in for a model: no valid document, a timeout for every seventh text."""
+    """Deterministic stand-in for a model: by text length a timeout, a good answer at once or when asked again, or none."""
     for batch in batches:
         rows = []
         for key, messages in zip(batch.key, batch.messages):
             size = len(messages[0]["content"])
             down = size % 7 == 0
-            rows.append((key, None if down else '{"size": %d}' % size, size, len(messages), 1, "timeout" if down else None))
+            good = size % 5 == 1 or (size % 5 == 2 and len(messages) > 1)
+            answer = None if down else ACCEPTED if good else '{"size": %d}' % size
+            rows.append((key, answer, size, len(messages), 1, "timeout" if down else None))
         yield pd.DataFrame(rows, columns=m.RESPONSE.names)
 
 
 @query("d7_run_model", """
-with k as (select distinct sha256(text) as key, length(text) % 7 = 0 as down from documents)
-select key, 1 as attempt, case when down then 'timeout' end as provider_error, case when not down then 'schema' end as validation_error from k
-union all select key, 2, null, 'schema' from k where not down""")
+with k as (select distinct sha256(text) as key, length(text) % 7 = 0 as down, length(text) % 5 as kind from documents)
+select key, 1 as attempt, case when down then 'timeout' end as provider_error, case when not down and kind <> 1 then 'schema' end as validation_error from k
+union all select key, 2, null, case when kind <> 2 then 'schema' end from k where not down and kind <> 1""")
 def _(spark, d):
     contents = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "text").groupBy("key").agg(F.min("text").alias("text"))
     pending = contents.selectExpr("key", "array(named_struct('role', 'user', 'content', text)) as messages")
