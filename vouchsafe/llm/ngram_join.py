@@ -1,7 +1,7 @@
 """Jaccard self-join of documents on word n-grams.
 
 Documents with the same set of n-grams are one class and take part once. A class's n-grams are ordered rare
-first (by millions of hashed counters over the whole corpus, then by hash); two sets that are similar enough
+first (by a million hashed counters over the whole corpus, then by hash); two sets that are similar enough
 share an n-gram in a short prefix of that order. Prefix n-grams that occur twice give candidates, which
 must pass the length filter, the positional filter (what can still match behind the shared n-gram) and the
 suffix filter (a lower bound of the symmetric difference from the sets' spread over fixed parts of the hash
@@ -29,7 +29,7 @@ from vouchsafe.llm.tables import one_of_repeated, spread, unused, whole_text, wr
 
 #: Saturating counters of the corpus counts that make the order rare first. Any order gives right results; with
 #: fewer counters than a fraction of the n-grams, those of middling count mix with the rare ones and make lists longer.
-BUCKETS = 1 << 22
+BUCKETS = 1 << 20
 #: Counters in a row while the tasks' counts are summed, and such rows that are summed together.
 CHUNK, TOGETHER = 1 << 16, 64
 MOST = np.iinfo(np.uint16).max
@@ -102,14 +102,15 @@ def _sets(words: int):
                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=names)
             row += m
-        chunks = [c for c in range(BUCKETS // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
-        none = lambda kind: pa.nulls(len(chunks), kind)
-        times = [np.minimum(counts[c * CHUNK : (c + 1) * CHUNK], MOST).astype("<u2").tobytes() for c in chunks]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.ones(len(chunks), np.int32)), pa.array(np.full(len(chunks), TaskContext.get().partitionId(), np.int64)),
-            none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int64()),
-            none(pa.binary()), none(pa.binary()), none(pa.list_(pa.int8())), pa.array(chunks, pa.int32()), pa.array(times, pa.binary()),
-        ], names=names)
+        for c in range(BUCKETS // CHUNK):  # a batch each, so that no large one is held
+            own = counts[c * CHUNK : (c + 1) * CHUNK]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([1], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()),
+                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
+                    pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int8())),
+                    pa.array([c], pa.int32()), pa.array([np.minimum(own, MOST).astype("<u2").tobytes()], pa.binary()),
+                ], names=names)
 
     return run
 
