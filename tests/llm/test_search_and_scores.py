@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import corpus, frame, words
-from vouchsafe.llm import knn, licenses, pii, quality
+from vouchsafe.llm import knn, licenses, pii, quality, queries
 
 
 @pytest.mark.parametrize("block", [(1024, 16384), (3, 16)])
@@ -199,3 +199,13 @@ def test_whole_licence_files(spark):
         assert by[k] == (n, "file", None) and by[100 + k] == (n, "inherited", f"{n}/LICENSE")
     assert by[200] == ("MIT", "file", None) and by[201] == ("MIT", "inherited", "own/COPYING") and by[204] == ("MIT", "file", None)
     assert by[202] == by[203] == by[205] == (None, None, None)
+
+
+def test_licence_files_hold_for_the_query_s_directories(spark):
+    found = queries.QUERIES["op9_license_scan"](spark, "/root/testdata/sf0.01").collect()
+    files = {r.path.rsplit("/", 1)[0]: r.license for r in found if r.origin == "file"}
+    assert files and all(r.doc_id % 4 == 0 for r in found if r.origin == "file")
+    heirs = [r for r in found if r.origin == "inherited"]
+    assert {r.doc_id for r in heirs} == {
+        r.doc_id for r in found if not r.licenses and r.path.split("/")[0] in files and not r.path.endswith("LICENSE")}
+    assert heirs and all(r.license == files[str(r.doc_id // 4)] and r.inherited_from == f"{r.doc_id // 4}/LICENSE" for r in heirs)
