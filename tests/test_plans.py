@@ -45,3 +45,8 @@ def test_defects_are_seeded_on_rows(spark):
     found = validation_queries.raw_fields(spark, FOLDER)
     assert "lambdafunction(named_struct(ord" not in plan_of(found)
     assert by_hash(found) == by_hash(fl.rows_of(validation_queries.raw_nested(spark, FOLDER), ["doc_id"], "fields"))
+
+
+def test_evidence_is_checked_without_lambdas_over_fields(spark):
+    plan = plan_of(catalog.QUERIES["c5_check_evidence"](spark, FOLDER))
+    assert "concat(/line_items/, cast(lambda" not in plan and "Generate explode(sequence" in plan
