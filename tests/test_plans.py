@@ -50,3 +50,14 @@ def test_defects_are_seeded_on_rows(spark):
 def test_evidence_is_checked_without_lambdas_over_fields(spark):
     plan = plan_of(catalog.QUERIES["c5_check_evidence"](spark, FOLDER))
     assert "concat(/line_items/, cast(lambda" not in plan and "Generate explode(sequence" in plan
+
+
+@pytest.mark.parametrize("kind", ["/total_amount", "/line_items/0/amount", "/line_items/3/quantity", "/line_items/0/unit_price", "/line_items/0/vat_rate"])
+def test_sound_numbers_break_no_rule(spark, monkeypatch, kind):
+    values = ["0", "0.00", "000", "1", "01.5", "1.500", "1.5000000", "12.345", "12.", ".5", "-1", "+2", "1e3", "1e-9", " 3 ", "3\n", "\u00a04", "99.99", "100", "100.01",
+              "120", "999999999999", "1234567890123.5", "0001234567890123", "9999999999999999.99", "12345678901234567", "without_vat", "without_vat\n", "x", "", None, "0.000001"]
+    df = spark.createDataFrame([(kind, x) for x in values], "path string, value string")
+    judge = lambda: [r[0] for r in df.coalesce(1).select(v.number_error(F.col("path"), F.col("value"))).collect()]
+    quick = judge()
+    monkeypatch.setattr(v, "SOUND_NUMBERS", {})
+    assert quick == judge() and None in quick and "not_a_number" in quick
