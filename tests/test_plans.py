@@ -69,3 +69,7 @@ def test_documents_are_rebuilt_where_they_lie(spark):
     nested = fl.with_fields(views.documents(spark, FOLDER))
     again = fl.nest_fields(fl.flatten_fields(views.documents(spark, FOLDER)))
     assert by_hash(fl.rebuild_documents(nested)) == by_hash(fl.rebuild_documents(again))
+
+
+def test_pointers_are_read_in_the_document_row(spark):
+    assert plan_of(catalog.QUERIES["c14_get_path"](spark, FOLDER)).count("collect_list(") == 1

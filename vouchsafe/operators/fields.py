@@ -173,14 +173,13 @@ def canonical_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(clean, "/"))
 
 
-def get_path(fields: DataFrame, requests: DataFrame) -> DataFrame:
+def get_path(nested: DataFrame, requests: DataFrame) -> DataFrame:
     """Read requested pointers: value, or the reason why the pointer leads to no field.
 
-    A request is checked against its own document's path list, one join on doc_id.
+    ``nested`` is (doc_id, fields) as of ``with_fields`` or ``nest_fields``. A request is checked against its own
+    document's path list, one join on doc_id.
     """
-    lists = fields.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("values"),
-    )
+    lists = nested.select("doc_id", F.map_from_arrays(F.expr("fields.path"), F.expr("fields.value")).alias("values"))
     key = canonical_path(F.col("request_path"))
     joined = requests.join(lists, "doc_id", "left")
     known = F.coalesce(F.map_contains_key("values", key), F.lit(False))
