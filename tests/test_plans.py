@@ -73,3 +73,8 @@ def test_documents_are_rebuilt_where_they_lie(spark):
 
 def test_pointers_are_read_in_the_document_row(spark):
     assert plan_of(catalog.QUERIES["c14_get_path"](spark, FOLDER)).count("collect_list(") == 1
+
+
+def test_scalar_counts_match_no_lines(spark):
+    plan = plan_of(catalog.QUERIES["j10_scalar_counts"](spark, FOLDER))
+    assert "assign_lines" not in plan

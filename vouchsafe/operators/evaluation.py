@@ -202,10 +202,15 @@ def line_outcomes(
 def evaluate_documents(
     expected: DataFrame, actual: DataFrame, sample: str = "sample_id", *,
     name_threshold: float = NAME_THRESHOLD, line_threshold: float = LINE_THRESHOLD,
-    comparators: Mapping[str, Comparator] | None = None,
+    comparators: Mapping[str, Comparator] | None = None, lines: bool = True,
 ) -> DataFrame:
-    """Counts per sample and field; line fields appear only where a document has lines."""
+    """Counts per sample and field; line fields appear only where a document has lines.
+
+    Without ``lines`` the scalar fields alone are judged, and no line is read or matched.
+    """
     table = default_comparators(name_threshold) if comparators is None else comparators
+    if not lines:
+        return count_outcomes(field_outcomes(expected.drop("lines"), actual.drop("lines"), sample, table), sample, "field")
     pairs = match_lines(scalar_outcomes(pair_samples(expected, actual, sample), table), line_threshold)
     scored = line_outcomes(pairs, name_threshold, table)
     return count_outcomes(rows_of(scored, [sample], F.concat("scalars", "line_fields")), sample, "field")
