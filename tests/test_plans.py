@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vouchsafe.operators import cascade
 from vouchsafe.operators import fields as fl
 from vouchsafe.operators import validation as v
 from vouchsafe.operators.rows import rows_of
@@ -78,3 +79,12 @@ def test_pointers_are_read_in_the_document_row(spark):
 def test_scalar_counts_match_no_lines(spark):
     plan = plan_of(catalog.QUERIES["j10_scalar_counts"](spark, FOLDER))
     assert "assign_lines" not in plan
+
+
+def test_escalation_derives_the_documents_once(spark):
+    assert plan_of(catalog.QUERIES["f1_escalation_split"](spark, FOLDER)).count("collect_list(") == 1
+    docs = views.documents(spark, FOLDER)
+    kept, more = cascade.escalation_split(docs, views.SETTINGS)
+    flags = dict(cascade.with_escalation(docs, views.SETTINGS).select("doc_id", "escalated").collect())
+    assert {r.doc_id for r in more.select("doc_id").collect()} == {k for k, e in flags.items() if e}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {k for k, e in flags.items() if not e}

@@ -22,8 +22,13 @@ PATHS = "array<string>"
 
 def escalation_split(docs: DataFrame, settings: GuardrailSettings) -> tuple[DataFrame, DataFrame]:
     """Documents accepted from the cheap model, and those that go on."""
-    checked = with_violations(docs, settings)
-    return checked.where("NOT requires_review"), checked.where("requires_review")
+    checked = with_escalation(docs, settings)
+    return checked.where("NOT escalated").drop("escalated"), checked.where("escalated").drop("escalated")
+
+
+def with_escalation(docs: DataFrame, settings: GuardrailSettings) -> DataFrame:
+    """All documents with ``escalated``: both sides of the split in one pass."""
+    return with_violations(docs, settings).withColumn("escalated", F.col("requires_review"))
 
 
 def disputed(leaves: Column, violation_paths: Column) -> Column:

@@ -229,8 +229,7 @@ def _(spark, d):
 # --- cascade ---------------------------------------------------------------------------
 @query("f1_escalation_split", "select doc_id, requires_review as escalated from v_summary", ("v_summary",))
 def _(spark, d):
-    kept, more = cs.escalation_split(views.documents(spark, d), views.SETTINGS)
-    return kept.select("doc_id", F.lit(False).alias("escalated")).unionByName(more.select("doc_id", F.lit(True).alias("escalated")))
+    return cs.with_escalation(views.documents(spark, d), views.SETTINGS).select("doc_id", "escalated")
 
 
 view("f_disputed", ("fx_fields", "v_all"), """
