@@ -88,3 +88,11 @@ def test_escalation_derives_the_documents_once(spark):
     flags = dict(cascade.with_escalation(docs, views.SETTINGS).select("doc_id", "escalated").collect())
     assert {r.doc_id for r in more.select("doc_id").collect()} == {k for k, e in flags.items() if e}
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {k for k, e in flags.items() if not e}
+
+
+def test_corrections_meet_the_asked_paths_once(spark):
+    assert plan_of(catalog.QUERIES["f5_restrict_corrections"](spark, FOLDER)).count("collect_list(") == 1
+    found = spark.createDataFrame([(1, "/a", "x"), (1, "/b", "y"), (2, "/a", "z")], "doc_id long, path string, value string")
+    asked = spark.createDataFrame([(1, "/a"), (1, "/a"), (3, "/a")], "doc_id long, path string")
+    rows = [(r.doc_id, r.path, r.value, r.asked) for r in cascade.with_asked(found, asked).collect()]
+    assert sorted(rows) == [(1, "/a", "x", True), (1, "/b", "y", False), (2, "/a", "z", False)]

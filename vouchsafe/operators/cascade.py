@@ -94,6 +94,12 @@ def restrict_corrections(corrections: DataFrame, asked: DataFrame) -> tuple[Data
     return corrections.join(keys, on, "left_semi"), corrections.join(keys, on, "left_anti")
 
 
+def with_asked(corrections: DataFrame, asked: DataFrame) -> DataFrame:
+    """All corrections with ``asked``: both sides of the restriction in one join."""
+    keys = asked.select("doc_id", "path").distinct().withColumn("asked", F.lit(True))
+    return corrections.join(keys, ["doc_id", "path"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+
+
 def overlay_corrections(nested: DataFrame, corrections: DataFrame) -> DataFrame:
     """Corrected field lists, validated again; ``rebuild_documents`` gives the nested form."""
     return validate_fields(overlay_fields(nested, corrections))

@@ -279,8 +279,7 @@ def _(spark, d):
 @query("f5_restrict_corrections", """
 select c.doc_id, c.path, p.path is not null as asked from f_corrections c left join f_pairs p on p.doc_id = c.doc_id and p.path = c.path""", ("f_corrections", "f_pairs"))
 def _(spark, d):
-    kept, dropped = cs.restrict_corrections(corrections(spark, d), cs.disputed_paths(marked(spark, d)))
-    return kept.select("doc_id", "path", F.lit(True).alias("asked")).unionByName(dropped.select("doc_id", "path", F.lit(False).alias("asked")))
+    return cs.with_asked(corrections(spark, d), cs.disputed_paths(marked(spark, d))).select("doc_id", "path", "asked")
 
 
 @query("f6_overlay_corrections", """
