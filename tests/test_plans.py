@@ -96,3 +96,10 @@ def test_corrections_meet_the_asked_paths_once(spark):
     asked = spark.createDataFrame([(1, "/a"), (1, "/a"), (3, "/a")], "doc_id long, path string")
     rows = [(r.doc_id, r.path, r.value, r.asked) for r in cascade.with_asked(found, asked).collect()]
     assert sorted(rows) == [(1, "/a", "x", True), (1, "/b", "y", False), (2, "/a", "z", False)]
+
+
+def test_provenance_derives_the_documents_once(spark):
+    assert plan_of(catalog.QUERIES["f7_field_provenance"](spark, FOLDER)).count("collect_list(") == 1
+    docs = views.documents(spark, FOLDER)
+    joined = cascade.field_provenance(fl.with_fields(docs), cascade.with_disputed(docs, views.SETTINGS), "small", "large")
+    assert by_hash(catalog.QUERIES["f7_field_provenance"](spark, FOLDER)) == by_hash(joined)

@@ -42,9 +42,10 @@ def disputed(leaves: Column, violation_paths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(violation_paths, leaves_of)))
 
 
-def with_disputed(docs: DataFrame, settings: GuardrailSettings) -> DataFrame:
-    """(doc_id, fields, disputed) of every document that has violations."""
-    checked = with_violations(docs, settings).where("requires_review")
+def with_disputed(docs: DataFrame, settings: GuardrailSettings, *, every: bool = False) -> DataFrame:
+    """(doc_id, fields, disputed) of every document that has violations, or of ``every`` document."""
+    checked = with_violations(docs, settings)
+    checked = checked if every else checked.where("requires_review")
     paths = F.transform("violations", lambda v: v["field_path"])
     listed = once(checked.select("doc_id", field_array().alias("fields"), paths.alias("paths")), leaves=F.expr("fields.path"))
     return once(listed, disputed=disputed(F.col("leaves"), F.col("paths"))).select("doc_id", "fields", "disputed")
@@ -110,10 +111,16 @@ def corrected_documents(nested: DataFrame, corrections: DataFrame) -> DataFrame:
     return overlay_corrections(nested, corrections).select("doc_id", *document_columns(), "errors")
 
 
-def field_provenance(nested: DataFrame, marked: DataFrame, cheap: str, costly: str) -> DataFrame:
-    """Model that supplied each known path: the costly one where it was asked."""
-    asked = marked.select("doc_id", F.col("disputed").alias("asked"))
-    joined = nested.join(asked, "doc_id", "left").withColumn("asked", F.coalesce("asked", F.array().cast(PATHS)))
+def field_provenance(nested: DataFrame, marked: DataFrame | None, cheap: str, costly: str) -> DataFrame:
+    """Model that supplied each known path: the costly one where it was asked.
+
+    Without ``marked`` the field lists bring their own ``disputed`` (``with_disputed`` of every document).
+    """
+    if marked is None:
+        joined = nested.withColumnRenamed("disputed", "asked")
+    else:
+        joined = nested.join(marked.select("doc_id", F.col("disputed").alias("asked")), "doc_id", "left")
+    joined = joined.withColumn("asked", F.coalesce("asked", F.array().cast(PATHS)))
     entries = F.transform("fields", lambda f: F.struct(
         f["path"].alias("path"),
         F.when(F.array_contains("asked", f["path"]), costly).otherwise(cheap).alias("model"),

@@ -304,7 +304,7 @@ def _(spark, d):
 select f.doc_id, f.path, case when p.path is not null then 'large' else 'small' end as model from fx_fields f left join f_pairs p on p.doc_id = f.doc_id and p.path = f.path""",
        ("fx_fields", "f_pairs"))
 def _(spark, d):
-    return cs.field_provenance(nested(spark, d), marked(spark, d), "small", "large")
+    return cs.field_provenance(cs.with_disputed(views.documents(spark, d), views.SETTINGS, every=True), None, "small", "large")
 
 
 @query("f8_cascade_usage", """
