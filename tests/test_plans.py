@@ -103,3 +103,7 @@ def test_provenance_derives_the_documents_once(spark):
     docs = views.documents(spark, FOLDER)
     joined = cascade.field_provenance(fl.with_fields(docs), cascade.with_disputed(docs, views.SETTINGS), "small", "large")
     assert by_hash(catalog.QUERIES["f7_field_provenance"](spark, FOLDER)) == by_hash(joined)
+
+
+def test_field_diff_reads_no_line_fields(spark):
+    assert "concat(/line_items/" not in plan_of(catalog.QUERIES["g8_field_diff"](spark, FOLDER))

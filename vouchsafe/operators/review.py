@@ -224,7 +224,8 @@ def field_label(pointer: Column) -> Column:
 def field_diff(nested: DataFrame, corrections: DataFrame) -> DataFrame:
     """Scalar fields with value, original value and whether a reviewer changed them."""
     mine = _by_document(corrections).groupBy("doc_id").agg(F.collect_set("path").alias("corrected_paths"))
-    original = nested.select("doc_id", "fields", F.col("fields").alias("original")).join(mine, "doc_id", "left")
+    scalar = nested.select("doc_id", F.filter("fields", lambda f: ~f["path"].startswith("/line_items/")).alias("fields"))
+    original = scalar.select("doc_id", "fields", F.col("fields").alias("original")).join(mine, "doc_id", "left")
     effective = apply_corrections(original, corrections)
 
     def row(f: Column, i: Column) -> Column:
@@ -235,8 +236,7 @@ def field_diff(nested: DataFrame, corrections: DataFrame) -> DataFrame:
             f["confidence"].alias("confidence"), f["sources"].alias("sources"),
         )
 
-    scalars = F.filter(F.transform("fields", row), lambda r: ~r["path"].startswith("/line_items/"))
-    return rows_of(effective, ["doc_id"], scalars)
+    return rows_of(effective, ["doc_id"], F.transform("fields", row))
 
 
 def review_counters(docs: DataFrame, tasks: DataFrame) -> DataFrame:

@@ -184,7 +184,8 @@ view("g_diff", ("g_effective",), f"select doc_id, path, {FIELD_LABEL} as label,
 
 @query("g8_field_diff", "select * from g_diff", ("g_diff",))
 def _(spark, d):
-    return r.field_diff(nested(spark, d), r.correction_map(tasks(spark, d))).drop("sources")
+    scalars = fl.with_fields(views.documents(spark, d), lines=False)  # the operator shows no others
+    return r.field_diff(scalars, r.correction_map(tasks(spark, d))).drop("sources")
 
 
 @query("g9_review_counters", """
