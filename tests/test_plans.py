@@ -107,3 +107,8 @@ def test_provenance_derives_the_documents_once(spark):
 
 def test_field_diff_reads_no_line_fields(spark):
     assert "concat(/line_items/" not in plan_of(catalog.QUERIES["g8_field_diff"](spark, FOLDER))
+
+
+def test_scalar_outcomes_join_no_lines(spark):
+    plan = plan_of(catalog.QUERIES["j11_merge_metrics"](spark, FOLDER))
+    assert "неожиданная" not in plan and "Join FullOuter" in plan

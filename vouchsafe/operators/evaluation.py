@@ -70,8 +70,9 @@ def field_outcomes(
     expected: DataFrame, actual: DataFrame, sample: str = "sample_id",
     comparators: Mapping[str, Comparator] | None = None,
 ) -> DataFrame:
-    """One row per sample and scalar path."""
-    return rows_of(scalar_outcomes(pair_samples(expected, actual, sample), comparators), [sample], "scalars")
+    """One row per sample and scalar path; lines stay out of the join."""
+    pairs = pair_samples(expected.drop("lines"), actual.drop("lines"), sample)
+    return rows_of(scalar_outcomes(pairs, comparators), [sample], "scalars")
 
 
 def _comparable(line: Column) -> Column:
@@ -210,7 +211,7 @@ def evaluate_documents(
     """
     table = default_comparators(name_threshold) if comparators is None else comparators
     if not lines:
-        return count_outcomes(field_outcomes(expected.drop("lines"), actual.drop("lines"), sample, table), sample, "field")
+        return count_outcomes(field_outcomes(expected, actual, sample, table), sample, "field")
     pairs = match_lines(scalar_outcomes(pair_samples(expected, actual, sample), table), line_threshold)
     scored = line_outcomes(pairs, name_threshold, table)
     return count_outcomes(rows_of(scored, [sample], F.concat("scalars", "line_fields")), sample, "field")
