@@ -112,3 +112,8 @@ def test_field_diff_reads_no_line_fields(spark):
 def test_scalar_outcomes_join_no_lines(spark):
     plan = plan_of(catalog.QUERIES["j11_merge_metrics"](spark, FOLDER))
     assert "неожиданная" not in plan and "Join FullOuter" in plan
+
+
+def test_whole_documents_pass_by_the_plain_spellings(spark):
+    plan = plan_of(catalog.QUERIES["c13_valid_documents"](spark, FOLDER))
+    assert "[0-9]{1,16}" in plan and "from_json" not in plan.split("Generate")[0]
