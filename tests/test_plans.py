@@ -117,3 +117,8 @@ def test_scalar_outcomes_join_no_lines(spark):
 def test_whole_documents_pass_by_the_plain_spellings(spark):
     plan = plan_of(catalog.QUERIES["c13_valid_documents"](spark, FOLDER))
     assert "[0-9]{1,16}" in plan and "from_json" not in plan.split("Generate")[0]
+
+
+def test_fields_of_values_alone_make_no_evidence(spark):
+    assert "lambdafunction" not in plan_of(catalog.QUERIES["j5_compare_field"](spark, FOLDER))
+    assert by_hash(views.fields(spark, FOLDER)) == by_hash(fl.flatten_fields(views.documents(spark, FOLDER)))

@@ -6,6 +6,8 @@ rebuilt by position and no grouping is needed unless the caller starts from expl
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,37 +65,56 @@ def with_fields(docs: DataFrame, **kwargs: bool) -> DataFrame:
     return docs.select("doc_id", field_array(**kwargs).alias("fields"))
 
 
+def _scalar_places(subtypes: bool) -> list[tuple[int, str]]:
+    extra = [n for group in SUBTYPE_FIELDS.values() for n in group] if subtypes else []
+    return [*enumerate(SCALAR_TYPES), *((i - len(extra), n) for i, n in enumerate(extra))]
+
+
 def flatten_fields(docs: DataFrame, *, lines: bool = True, subtypes: bool = False) -> DataFrame:
     """One row per field: doc_id, ord, path, value text, confidence, sources.
 
     Generators and branches on numbers are compiled, lambdas over lists are not; a member that nobody reads is not made.
     """
-    extra = [n for group in SUBTYPE_FIELDS.values() for n in group] if subtypes else []
-    scalars = [*((i, p) for i, p in enumerate(SCALAR_TYPES)), *((i - len(extra), n) for i, n in enumerate(extra))]
-    members = list(LINE_TYPES)
-    columns = list(dict.fromkeys(p.split(".")[0] for _, p in scalars))
-    rows = docs.select("doc_id", *columns)
-    if lines:  # the document itself, then its lines
-        rows = docs.select("doc_id", *columns, F.posexplode(F.expr(
-            "concat(array(get(line_items, -1)), coalesce(line_items, array()))")).alias("_at", "_line"))
+    columns = list(dict.fromkeys(p.split(".")[0] for _, p in _scalar_places(subtypes)))
+    return read_fields(field_places(docs, ["doc_id", *columns], lines="line_items" if lines else None, subtypes=subtypes), lines=lines, subtypes=subtypes)
+
+
+def field_places(docs: DataFrame, keep: list[str], *, lines: str | None, subtypes: bool = False) -> DataFrame:
+    """``keep`` once per field of a document: ``_at`` is 0 for the document itself and counts its lines from 1, ``_line`` is
+    the line there, ``_k`` the field's number within it."""
+    n = len(_scalar_places(subtypes))
+    if lines:
+        rows = docs.select(*keep, F.posexplode(F.expr(
+            f"concat(array(get({lines}, -1)), coalesce({lines}, array()))")).alias("_at", "_line"))
     else:
-        rows = rows.withColumn("_at", F.lit(0))
-    last = f"CASE WHEN _at = 0 THEN {len(scalars) - 1} ELSE {len(members) - 1} END" if lines else str(len(scalars) - 1)
-    rows = rows.select("*", F.explode(F.expr(f"sequence(0, {last})")).alias("_k"))
+        rows = docs.select(*keep).withColumn("_at", F.lit(0))
+    last = f"CASE WHEN _at = 0 THEN {n - 1} ELSE {N_LINE - 1} END" if lines else str(n - 1)
+    return rows.select("*", F.explode(F.expr(f"sequence(0, {last})")).alias("_k"))
+
+
+def read_fields(
+    rows: DataFrame, *, lines: bool = True, subtypes: bool = False, wrapped: bool = True, keep: Sequence[str] = (),
+) -> DataFrame:
+    """The field at each of the ``field_places``, whose ``_line`` and other columns are nested as in a document.
+
+    Documents that aren't ``wrapped`` hold bare values, which have no confidence and evidence.
+    """
+    scalars, members = _scalar_places(subtypes), list(LINE_TYPES)
 
     def either(of_scalar: str, of_line: str) -> str:
         return f"CASE WHEN _at = 0 THEN {of_scalar} ELSE {of_line} END" if lines else of_scalar
 
-    def member(name: str, cast: str = "{}") -> str:
+    def member(tail: str, cast: str = "{}") -> str:
         pick = lambda each: "CASE _k " + " ".join(f"WHEN {i} THEN {cast.format(f)}" for i, f in enumerate(each)) + " END"
-        return either(pick([f"{p}.{name}" for _, p in scalars]), pick([f"_line.{n}.{name}" for n in members]))
+        return either(pick([f"{p}{tail}" for _, p in scalars]), pick([f"_line.{n}{tail}" for n in members]))
 
     names = lambda each: "get(array(" + ", ".join(f"'{n}'" for n in each) + "), _k)"
     order = f"get(array({', '.join(str(i) for i, _ in scalars)}), _k)"
     return rows.selectExpr(
-        "doc_id", f"CAST({either(order, f'{N_SCALARS} + (_at - 1) * {N_LINE} + _k')} AS INT) AS ord",
+        "doc_id", *keep, f"CAST({either(order, f'{N_SCALARS} + (_at - 1) * {N_LINE} + _k')} AS INT) AS ord",
         either(names([scalar_pointer(p) for _, p in scalars]), f"concat('/line_items/', _at - 1, '/', {names(members)})") + " AS path",
-        member("value", "CAST({} AS STRING)") + " AS value", member("confidence") + " AS confidence", member("sources") + " AS sources",
+        member(".value" if wrapped else "", "CAST({} AS STRING)") + " AS value",
+        *([member(".confidence") + " AS confidence", member(".sources") + " AS sources"] if wrapped else []),
     )
 
 
