@@ -122,3 +122,7 @@ def test_whole_documents_pass_by_the_plain_spellings(spark):
 def test_fields_of_values_alone_make_no_evidence(spark):
     assert "lambdafunction" not in plan_of(catalog.QUERIES["j5_compare_field"](spark, FOLDER))
     assert by_hash(views.fields(spark, FOLDER)) == by_hash(fl.flatten_fields(views.documents(spark, FOLDER)))
+
+
+def test_evidence_rules_are_evaluated_once(spark):
+    assert plan_of(catalog.QUERIES["c5_check_evidence"](spark, FOLDER)).count("confidence_range") == 1
