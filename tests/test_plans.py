@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vouchsafe.operators import cascade
+from vouchsafe.operators import cascade, evaluation
 from vouchsafe.operators import fields as fl
 from vouchsafe.operators import validation as v
 from vouchsafe.operators.rows import rows_of
@@ -126,3 +126,10 @@ def test_fields_of_values_alone_make_no_evidence(spark):
 
 def test_evidence_rules_are_evaluated_once(spark):
     assert plan_of(catalog.QUERIES["c5_check_evidence"](spark, FOLDER)).count("confidence_range") == 1
+
+
+@pytest.mark.parametrize("name", ["j7_line_similarity", "j8_match_lines", "j8_match_totals", "j9_line_outcomes"])
+def test_compared_documents_are_bare(spark, name):
+    assert "confidence" not in plan_of(catalog.QUERIES[name](spark, FOLDER))
+    wrapped = evaluation.bare_form(views.documents(spark, FOLDER), "doc_id", wrapped=True)
+    assert by_hash(evaluation.bare_form(views.bare_documents(spark, FOLDER), "doc_id", wrapped=False)) == by_hash(wrapped)

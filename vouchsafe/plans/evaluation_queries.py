@@ -62,7 +62,7 @@ def _(spark, d):
 
 # --- expected and actual documents -----------------------------------------------------
 def expected(spark, d) -> DataFrame:
-    return e.bare_form(views.documents(spark, d).withColumnRenamed("doc_id", "sample_id"), wrapped=True)
+    return e.bare_form(views.bare_documents(spark, d).withColumnRenamed("doc_id", "sample_id"), wrapped=False)
 
 
 EDITED = {
