@@ -1,5 +1,7 @@
 """Shapes of plans whose cost grows with the tables, and equal results of the cheaper forms."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from vouchsafe.operators import fields as fl
 from vouchsafe.operators import validation as v
 from vouchsafe.operators.rows import rows_of
 from vouchsafe.plans import catalog, validation_queries, views
-from vouchsafe.schemas import document_type
+from vouchsafe.schemas import LINE_TYPES, document_type
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -133,3 +135,36 @@ def test_compared_documents_are_bare(spark, name):
     assert "confidence" not in plan_of(catalog.QUERIES[name](spark, FOLDER))
     wrapped = evaluation.bare_form(views.documents(spark, FOLDER), "doc_id", wrapped=True)
     assert by_hash(evaluation.bare_form(views.bare_documents(spark, FOLDER), "doc_id", wrapped=False)) == by_hash(wrapped)
+
+
+def odd_documents(spark):
+    """A sound document, and copies with one odd field each, as rows with an untyped document."""
+    page = {"kind": "pdf_text", "page": 1, "bbox": None, "sheet": None, "cell_range": None, "text": None}
+    field = lambda value, confidence=0.9, sources=(page,): {"value": value, "confidence": confidence, "sources": list(sources)}
+    party = lambda: {"name": field("x"), "inn": field("7707083893"), "kpp": field("770101001")}
+    line = lambda: {n: field(x) for n, x in zip(LINE_TYPES, ("x", "1", "шт", "2.5", "2.50", "20", "0.50"))}
+    sound = lambda: {
+        "document_type": field("vat_invoice"), "number": field("1"), "date": field("2001-01-02"), "supplier": party(), "buyer": party(),
+        "total_amount": field("3.00"), "vat_amount": field(None, 0.0, ()), "currency": field("RUB"), "line_items": [line(), line()]}
+    odd = [field(x) for x in ("", "abc", "-1", "0", "1e3", "1.2345678", "without_vat", "120", "usd", " руб. ", "руб.", "RUB\n", "1027700132195", "77010100", "2001-13-40",
+                              "receipt", "12345678901234567890", "7707083893\n")]
+    odd += [field("1", c) for c in (None, 1.5, -0.5, 1 + 1e-13, -1e-13, 1.0, float("1e-12"))] + [field(None, 0.7), field(None, None, ()), field("1", 0.5, ())]
+    odd += [field("1", 0.5, [page | change]) for change in ({"kind": None}, {"kind": "fax"}, {"page": None}, {"page": 0}, {"kind": "spreadsheet"}, {"text": "x" * 501},
+            {"bbox": {"x1": 0.5, "y1": 0, "x2": 0.1, "y2": 1}}, {"bbox": {"x1": 0.1, "y1": 0, "x2": 0.5, "y2": 1}})] + [field("1", 0.5, [page, page | {"page": 0}])]
+    found = [sound(), sound() | {"line_items": None}, sound() | {"line_items": []}]
+    for value in odd:
+        for name in ("document_type", "date", "total_amount", "currency"):
+            found.append(sound() | {name: value})
+        found += [sound() | {"supplier": party() | {name: value}} for name in ("name", "inn", "kpp")]
+        found += [sound() | {"line_items": [line(), line() | {name: value}]} for name in LINE_TYPES]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(found)], "doc_id long, t string").repartition(4)
+    return rows.select("doc_id", F.from_json("t", document_type(typed=False)).alias("document"))
+
+
+def test_plainly_sound_fields_are_passed_over(spark):
+    assert "_raw" not in plan_of(catalog.QUERIES["c13_valid_documents"](spark, FOLDER))
+    docs = odd_documents(spark).cache()
+    whole = v.validate_fields(docs.select("doc_id", fl.fields_of("document").alias("fields"))).select("doc_id", "fields", F.array_distinct("errors").alias("errors"))
+    quick = v.validate_documents(docs.select("doc_id", "document.*"), views.TODAY)
+    assert by_hash(quick.select("doc_id", "fields", "errors")) == by_hash(whole)
+    assert 0 < quick.where("is_valid").count() < quick.count() and whole.where("size(errors) > 0").count() == quick.where("NOT is_valid").count()
