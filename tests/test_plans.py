@@ -168,3 +168,11 @@ def test_plainly_sound_fields_are_passed_over(spark):
     quick = v.validate_documents(docs.select("doc_id", "document.*"), views.TODAY)
     assert by_hash(quick.select("doc_id", "fields", "errors")) == by_hash(whole)
     assert 0 < quick.where("is_valid").count() < quick.count() and whole.where("size(errors) > 0").count() == quick.where("NOT is_valid").count()
+
+
+def test_cached_answers_pass_by_the_plain_spellings(spark):
+    found = catalog.QUERIES["d3_cache_get_valid"](spark, FOLDER)
+    assert "_raw" not in plan_of(found) and plan_of(found).count("to_json") <= 1
+    docs = odd_documents(spark).cache()
+    whole = v.validate_fields(docs.select("doc_id", fl.fields_of("document").alias("fields")))
+    assert by_hash(docs.select("doc_id", v.document_errors("document.").alias("errors"))) == by_hash(whole.select("doc_id", "errors"))
