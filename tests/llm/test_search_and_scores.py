@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.cases import corpus, frame, words
-from vouchsafe.llm import knn, licenses, pii, quality, queries
+from vouchsafe.llm import chunks, knn, licenses, pii, quality, queries
 
 
 @pytest.mark.parametrize("block", [(1024, 16384), (3, 16)])
@@ -64,6 +66,20 @@ def test_quality_learns_only_the_fold(spark):
     assert all(abs(again[i] - r.score) < 1e-6 for i, r in found.items())
 
 
+def test_quality_holds_few_texts_of_a_batch_and_no_encoder(monkeypatch):
+    texts = [f"{i} " + "some words. " * 500 for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    monkeypatch.setitem(chunks._ENCODERS, (chunks.ByteChunkEncoder, "x"), object())
+    tracemalloc.start()
+    try:
+        found = quality._statistics_of(batch, 0)
+        assert tracemalloc.get_traced_memory()[1] < batch.nbytes / 4
+    finally:
+        tracemalloc.stop()
+    assert not chunks._ENCODERS
+    assert found[3999].tolist() == quality.statistics(texts[3999]) and len(found) == 4000
+
+
 def test_quality_without_a_class(spark):
     docs = frame(spark, corpus())
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -156,7 +156,7 @@ _ENCODERS: dict[tuple[type, str], ChunkEncoder] = {}
 
 
 def encoder(kind: type[ChunkEncoder], model: str) -> ChunkEncoder:
-    """The worker's encoder for a tokenizer file's content; it outlives a task."""
+    """The worker's encoder for a tokenizer file's content; it outlives a task, until another operator frees it."""
     key = kind, model
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -164,6 +164,11 @@ def encoder(kind: type[ChunkEncoder], model: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def release_encoder() -> None:
+    """Free the encoder and its tables of known words (over 100 MB in a worker) when other work begins there."""
+    _ENCODERS.clear()
+
+
 def model_text(path: str) -> str:
     """Content of a tokenizer file, read on the driver and sent to the tasks (a few MB, fixed by the vocabulary)."""
     with open(path, encoding="utf-8") as file:

@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vouchsafe.llm.chunks import release_encoder
 from vouchsafe.llm.tables import spread, whole_text
 
+#: Texts of a batch that are Python strings at a time.
+GROUP = 256
 #: Weight of the pooled covariance, and of the mean variance on the diagonal, in each class's covariance.
 POOLED, RIDGE = 0.5, 0.1
 #: Scores are cut off at the logistic of this many nats; farther differences carry no more meaning.
@@ -78,7 +81,12 @@ def statistics(text: str) -> list[float]:
 
 
 def _statistics_of(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    return np.array([statistics(t) for t in batch.column(column).to_pylist()], dtype=float).reshape(-1, len(NAMES))
+    """One row per text. What an encoder kept in this worker is freed, as workers are shared by the stages of a job."""
+    release_encoder()
+    texts, found = batch.column(column), np.empty((batch.num_rows, len(NAMES)))
+    for at in range(0, batch.num_rows, GROUP):
+        found[at : at + GROUP] = [statistics(t) for t in texts.slice(at, GROUP).to_pylist()]
+    return found
 
 
 @dataclass(frozen=True)
