@@ -4,12 +4,13 @@ Documents with the same set of n-grams are one class and take part once. A class
 first (by a million hashed counters over the whole corpus, then by hash); two sets that are similar enough
 share an n-gram in a short prefix of that order. Prefix n-grams that occur twice give candidates, which
 must pass the length filter, the positional filter (what can still match behind the shared n-gram) and the
-suffix filter (a lower bound of the symmetric difference from the sets' spread over fixed parts of the hash
-space). Each pair that is left is verified once on the whole sets.
+suffix filter (lower bounds of the symmetric difference from the sets' spread over fixed parts of the hash
+space: by the parts with an odd number of n-grams, and by the counts). Each pair that is left is verified once
+on the whole sets.
 
 Candidates come in steps, so that a large group of near copies isn't tried pair by pair. First every member
-of a prefix list is tried against the member with the most exact copies, then what is still apart against a
-few members drawn by hash. Then only members that are in different
+of a prefix list is tried against the member with the most exact copies (of several the one with the least that
+others lack), then what is still apart against a few members drawn by hash. Then only members that are in different
 components are paired. Links inside a component change no component, so the result is exact.
 """
 
@@ -35,6 +36,8 @@ CHUNK, TOGETHER = 1 << 16, 64
 MOST = np.iinfo(np.uint16).max
 #: Parts of the hash space of the suffix filter: a short form beside each candidate, a longer one for each pair.
 OUTLINE, PARTS = 64, 256
+#: Parts of the hash space whose odd counts are marked by a bit each.
+SKETCH = 512
 #: Members, drawn by hash, that what is still apart is tried against before it is paired.
 MORE_HUBS = 3
 #: Rows with both texts that are verified together.
@@ -71,19 +74,25 @@ def _outline_of(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=OUTLINE), 127).astype(np.int8)
 
 
+def _sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of SKETCH parts that holds an odd number: an n-gram that only one set has flips one bit."""
+    odd = np.bincount(((hashes >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
+
+
 def _parts_of(hashes: np.ndarray) -> bytes:
     return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes()
 
 
 def _sets(words: int):
     """Rows of kind 0: a document's key, size and parts. Rows of kind 1: a task's counters, in chunks."""
-    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "outline", "chunk", "times"]
+    names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "outline", "sketch", "chunk", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            size, cls, keys, parts, outline = [], [], [], [], []
+            size, cls, keys, parts, outline, sketch = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
                 np.add.at(counts, (found & np.uint64(BUCKETS - 1)).astype(np.int64), 1)  # distinct n-grams of a text
@@ -93,12 +102,13 @@ def _sets(words: int):
                 keys.append(key)
                 parts.append(_parts_of(found))
                 outline.append(_outline_of(found))
+                sketch.append(_sketch_of(found))
             m = len(size)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.zeros(m, np.int32)), pa.array(np.arange(row, row + m)), batch.column(0),
                 batch.column(2), pa.array(size, pa.int32()),
                 pa.array(cls, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary()),
-                pa.array(outline, pa.list_(pa.int8())),
+                pa.array(outline, pa.list_(pa.int8())), pa.array(sketch, pa.list_(pa.int64())),
                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=names)
             row += m
@@ -108,14 +118,14 @@ def _sets(words: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([1], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()),
                     pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
-                    pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int8())),
+                    pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int8())), pa.nulls(1, pa.list_(pa.int64())),
                     pa.array([c], pa.int32()), pa.array([np.minimum(own, MOST).astype("<u2").tobytes()], pa.binary()),
                 ], names=names)
 
     return run
 
 
-_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, outline array<tinyint>, chunk int, times binary"
+_SETS = "kind int, row long, doc_id long, text_key long, n int, cls long, key binary, parts binary, outline array<tinyint>, sketch array<bigint>, chunk int, times binary"
 
 
 def _sum_chunks(table: pa.Table) -> pa.Table:
@@ -142,11 +152,13 @@ def _all_counts(counted: DataFrame, tasks: int) -> np.ndarray:
 
 
 def _prefixes(words: int, num: int, den: int, counts):
+    """Prefix n-grams of each set; ``own`` is the sum of 100 / count over the set, small where others have all of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = counts.value
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, owner, size, place = [], [], [], []
+            tokens, owner, size, place, own = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text, words)
                 n = len(found)
@@ -159,14 +171,16 @@ def _prefixes(words: int, num: int, den: int, counts):
                     seen.clear()  # a copy that is met again adds equal rows, nothing else
                 seen.add(key)
                 prefix = n + num * n // -den + 1
-                order = np.lexsort((found, times[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:prefix]
+                often = times[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((found, often))[:prefix]
                 tokens.append(found[order].view(np.int64))
                 owner.append(np.full(prefix, short, np.int64))
                 size.append(np.full(prefix, n, np.int32))
                 place.append(np.arange(prefix, dtype=np.int32))
+                own.append(np.full(prefix, int((100 / np.maximum(often, 1)).sum()), np.int32))
             if tokens:
-                columns = [pa.array(np.concatenate(c)) for c in (tokens, owner, size, place)]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "n", "at"])
+                columns = [pa.array(np.concatenate(c)) for c in (tokens, owner, size, place, own)]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "n", "at", "own"])
 
     return run
 
@@ -179,13 +193,24 @@ def _may_match(an: Column, aat: Column, bn: Column, bat: Column, num: int, den:
     return (small * den >= large * num) & (rest >= need)
 
 
+def _most_apart(num: int, den: int) -> Column:
+    """Size of the largest symmetric difference that two similar sets of n and _n n-grams can have."""
+    both = F.col("n").cast("long") + F.col("_n")
+    return both - 2 * F.ceil(both * num / (num + den) - 1e-9)
+
+
+def _sketches_close(num: int, den: int) -> Column:
+    """Suffix filter on the odd parts; near the limit it tells small sets apart that the counts don't."""
+    apart = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("_sketch")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return apart <= _most_apart(num, den)
+
+
 def _outlines_close(num: int, den: int) -> Column:
     """Suffix filter on the short forms, inside the join: far sets never become rows."""
     apart = F.aggregate(
         F.zip_with("outline", "_outline", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda a, x: a + x,
     )
-    both = F.col("n").cast("long") + F.col("_n")
-    return apart <= both - 2 * F.ceil(both * num / (num + den) - 1e-9)
+    return apart <= _most_apart(num, den)
 
 
 def _suffix_filter(num: int, den: int):
@@ -274,21 +299,22 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     classes = written(
         sets.where("n > 0").groupBy("cls", "key").agg(
             F.min("row").alias("node"), F.min(_place()).alias("place"), F.min_by("doc_id", "row").alias("text_of"),
-            F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("outline").alias("outline"), F.count("*").alias("copies"),
+            F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("outline").alias("outline"),
+            F.first("sketch").alias("sketch"), F.count("*").alias("copies"),
         ),
         "ngram-classes",
     )
     postings = texts.select("text").mapInArrow(
-        _prefixes(words, num, den, spark.sparkContext.broadcast(times)), "token long, cls long, n int, at int",
+        _prefixes(words, num, den, spark.sparkContext.broadcast(times)), "token long, cls long, n int, at int, own int",
     )
     of_token = Window.partitionBy("token")
     shared = postings.withColumns({"least": F.min("cls").over(of_token), "last": F.max("cls").over(of_token)}).where("least < last")
-    # the class with the most copies is what most near copies were made from
-    best = F.max(F.struct("copies", -F.col("n"), "cls", "at")).over(of_token)
+    # the class with the most copies is what most near copies were made from; else the one with the least of its own is in their middle
+    best = F.max(F.struct("copies", -F.col("own"), (-F.col("n")).alias("less"), "cls", "at")).over(of_token)
     shared = written(
-        shared.select("token", "cls", "n", "at").join(classes.select("cls", "copies"), "cls")
+        shared.select("token", "cls", "n", "at", "own").join(classes.select("cls", "copies"), "cls")
         .withColumn("hub", best).select("token", "cls", "n", "at", F.struct(
-            F.col("hub.cls").alias("cls"), (-F.col("hub.col2")).alias("n"), F.col("hub.at").alias("at")).alias("hub")),
+            F.col("hub.cls").alias("cls"), (-F.col("hub.less")).alias("n"), F.col("hub.at").alias("at")).alias("hub")),
         "ngram-shared",
     )
     tried = (
@@ -315,12 +341,12 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     # members of different components that share a prefix n-gram
     left = _placed(shared, classes, roots)
-    right = left.select("token", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "at", "root", "outline")])
+    right = left.select("token", *[F.col(c).alias(f"_{c}") for c in ("cls", "n", "at", "root", "outline", "sketch")])
     across = (
         left.join(right, "token")
         .where((F.col("cls") < F.col("_cls")) & (F.col("root") != F.col("_root")))
         .where(_may_match(F.col("n"), F.col("at"), F.col("_n"), F.col("_at"), num, den))
-        .where(_outlines_close(num, den))
+        .where(_sketches_close(num, den) & _outlines_close(num, den))
         .select(F.col("cls").alias("x"), F.col("_cls").alias("y")).distinct()
         .join(tried, ["x", "y"], "left_anti")
     )
@@ -340,9 +366,9 @@ def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def _placed(shared: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the prefix lists with the component and the short form of their class."""
-    place = classes.join(roots, "node", "left").select("cls", "outline", F.coalesce("root", "node").alias("root"))
-    return shared.join(place, "cls").select("token", "cls", "n", "at", "root", "outline")
+    """Members of the prefix lists with the component and the short forms of their class."""
+    place = classes.join(roots, "node", "left").select("cls", "outline", "sketch", F.coalesce("root", "node").alias("root"))
+    return shared.join(place, "cls").select("token", "cls", "n", "at", "root", "outline", "sketch")
 
 
 def _place() -> Column:
