@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tests.llm.cases import corpus, frame
@@ -157,6 +160,87 @@ def test_every_repeated_string(spark, monkeypatch, least, large):
     check_cover(rows, suffix_dedup.remove_repeats(frame(spark, rows), least, keep_first=False).collect(), least)
 
 
+def test_groups_of_many_bytes_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE_BYTES", 3000)
+    counted, taken = suffix_dedup._counted, []
+
+    def seen(pieces, *rest):
+        taken.append({r.h: (r.n, r.size) for r in pieces.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("size")).collect()})
+        return counted(pieces, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_counted", seen)
+    rows = [(k, cases.words(20, 30 + k) + " " + cases.words(90, 99) + " " + cases.words(20, 60 + k)) for k in range(12)]
+    rows += [(20, cases.words(200, 7)), (21, "x" + cases.words(200, 7)), (22, "ab" * 700)]
+    check_cover(rows, suffix_dedup.remove_repeats(frame(spark, rows), 200, keep_first=False).collect(), 200)
+    assert taken[0] and all(size > 3000 and n < suffix_dedup.LARGE_GROUP for n, size in taken[0].values())
+
+
+def peak_mb(run) -> float:
+    """MB that Python and numpy hold at most while the batches of ``run()`` are taken and dropped."""
+    tracemalloc.start()
+    try:
+        for _ in run():
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_sorts_is_bounded():
+    rng = np.random.default_rng(4)
+    letters = rng.integers(97, 123, 9_000_000, dtype=np.uint8).tobytes()
+    rows = [(k // 2, k, k, 5, letters[k * 3000 : k * 3000 + 2500] if k % 2 == 0 else b"Y" + letters[k * 3000 - 2000 : k * 3000]) for k in range(3000)]
+    names = ["h", "doc_id", "text_key", "start", "data"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+    found = []
+
+    def run():
+        for out in suffix_dedup._sort_bundles(400, False)(batch.slice(k, 100) for k in range(0, 3000, 100)):
+            found.extend(zip(*(c.to_pylist() for c in out.columns)))
+            yield
+
+    assert peak_mb(run) < 120
+    # the even row's bytes 1000 to 2500 stand in the odd one from its second byte on
+    assert found == [(k, k, 1005, 2505) if k % 2 == 0 else (k, k, 6, 1506) for k in range(3000)]
+
+
+def test_memory_of_texts_is_bounded():
+    text = np.random.default_rng(5).integers(97, 123, 4_000_000, dtype=np.uint8)
+    assert peak_mb(lambda: suffix_dedup.contexts(text, 400)) < 60
+    raw = text.tobytes().decode()
+    texts = [raw[k : k + 40_000] for k in range(0, 4_000_000, 40_000)] * 3 + [""]
+    asked = [[{"h": 1, "start": s, "starts": 200, "large": False} for s in range(0, len(t) - 600, 200)] for t in texts]
+    ids = pa.array(range(len(texts)))
+    wanted = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts), pa.array(asked)], names=["doc_id", "text_key", "text", "wanted"])
+    found = []
+
+    def run():
+        for out in suffix_dedup._slices(400)(iter([wanted])):
+            found.append(out.num_rows)
+            yield
+
+    assert peak_mb(run) < 20
+    assert sum(found) == sum(map(len, asked))
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1000])
+def test_chunks_keep_equal_strings_in_a_group(monkeypatch, chunk):
+    rng, least = random.Random(6), 20
+    text = "".join(rng.choice(["abc", "abd", "xyzxyz", "q" * 30]) for _ in range(150)).encode()
+    data = np.frombuffer(text, np.uint8)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    found = suffix_dedup.contexts(data, least)
+    group = [g for g, start, n, _ in found for _ in range(n)]
+    assert [s for _, start, n, _ in found for s in range(start, start + n)] == list(range(len(text) - least + 1))
+    of = {}
+    for s, g in enumerate(group):
+        assert of.setdefault(text[s : s + least], g) == g
+    for g, start, n, twice in found:
+        strings = [text[s : s + least] for s in range(start, start + n)]
+        assert twice or len(set(strings)) == n
+    assert suffix_dedup.contexts(data[: least - 1], least) == []
+
+
 def test_first_copy_stays(spark):
     a, b = cases.words(150, 1), cases.words(150, 2)
     rows = [(1, a), (2, a), (3, "x " + a), (4, b + " y"), (5, "z " + b), (6, None), (7, "ab" * 500)]
