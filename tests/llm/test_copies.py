@@ -175,6 +175,17 @@ def test_groups_of_many_bytes_are_counted(spark, monkeypatch):
     assert taken[0] and all(size > 3000 and n < suffix_dedup.LARGE_GROUP for n, size in taken[0].values())
 
 
+def test_counted_strings_in_a_row_are_one_range(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE_GROUP", 1)
+    same = cases.words(300, 99)
+    rows = [(k, cases.words(20, 30 + k) + " " + same) for k in range(6)] + [(None, "x " + same), (6, same), (6, same)]
+    found = suffix_dedup.repeated_ranges(frame(spark, rows), 200, keep_first=False).groupBy("doc_id").count().collect()
+    assert len(found) == 8 and all(r["count"] < len(same) // 20 for r in found)
+    check_cover(rows, suffix_dedup.remove_repeats(frame(spark, rows), 200, keep_first=False).collect(), 200)
+    firsts = suffix_dedup.remove_repeats(frame(spark, [r for r in rows if r[0] is not None]), 200).collect()
+    assert {r.doc_id for r in firsts if not r.n_removed} == {0} and all(r.n_removed >= len(same) for r in firsts if r.doc_id)
+
+
 def peak_mb(run) -> float:
     """MB that Python and numpy hold at most while the batches of ``run()`` are taken and dropped."""
     tracemalloc.start()
