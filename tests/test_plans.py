@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from vouchsafe.functions.compare import name_equal
+from vouchsafe.functions.text import has_name, normalize_name
 from vouchsafe.operators import cascade, evaluation
 from vouchsafe.operators import fields as fl
 from vouchsafe.operators import validation as v
@@ -176,3 +178,19 @@ def test_cached_answers_pass_by_the_plain_spellings(spark):
     docs = odd_documents(spark).cache()
     whole = v.validate_fields(docs.select("doc_id", fl.fields_of("document").alias("fields")))
     assert by_hash(docs.select("doc_id", v.document_errors("document.").alias("errors"))) == by_hash(whole.select("doc_id", "errors"))
+
+
+def test_every_field_is_compared(spark):
+    found = catalog.QUERIES["j5_compare_field"](spark, FOLDER)
+    assert by_hash(found.select("doc_id", "path")) == by_hash(views.fields(spark, FOLDER).select("doc_id", "path"))
+    verdicts = {(r.path.endswith("/name"), r.equal) for r in found.select("path", "equal").distinct().collect()}
+    assert (True, True) in verdicts and (True, False) in verdicts
+
+
+def test_names_that_are_empty_in_normal_form_equal_nothing(spark):
+    names = ["", " ", "«»", "-", "Ё", "ё", "x", "7", "Ж!", "日本", "İ", None]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    rows = df.select("a", "b", has_name(F.col("a")).alias("has"), normalize_name(F.col("a")).alias("left"), normalize_name(F.col("b")).alias("right"),
+                     name_equal(F.col("a"), F.col("b"), 1.0).alias("equal")).collect()
+    assert all(r.has == (None if r.left is None else r.left != "") for r in rows)
+    assert all(r.equal == bool(r.left and r.left == r.right) for r in rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vouchsafe import fixed_values as fv
-from vouchsafe.functions.text import normalize_name
+from vouchsafe.functions.text import has_name, normalize_name
 from vouchsafe.settings import NAME_THRESHOLD
 
 Comparator = Callable[[Column, Column], Column]
@@ -36,15 +36,15 @@ def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Ratio of the normalized names; equal names never leave the JVM as text."""
+    """Ratio of the normalized names; equal names never leave the JVM as text, and names of one spelling need no normal form."""
     left, right = normalize_name(a), normalize_name(b)
-    same = left == right
+    same = (a == b) | (left == right)
     scored = _ratio(F.when(~same, left), F.when(~same, right))
     return F.when(same, F.lit(1.0)).otherwise(scored)
 
 
 def name_equal(a: Column, b: Column, threshold: float = NAME_THRESHOLD) -> Column:
-    filled = (normalize_name(a) != "") & (normalize_name(b) != "")
+    filled = has_name(a) & has_name(b)
     return F.coalesce(filled & (name_similarity(a, b) >= threshold), F.lit(False))
 
 

@@ -66,6 +66,11 @@ def normalize_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(folded, "[^0-9a-zа-я]+", " "))
 
 
+def has_name(c: Column) -> Column:
+    """Whether the normalized name has any character; stops at the first one."""
+    return F.rlike(F.lower(c), F.lit("[0-9a-zа-яё]"))
+
+
 def party_key(c: Column) -> Column:
     """Party name for identity checks; punctuation is kept."""
     return squeeze(F.translate(F.lower(c), "ё", "е"))

@@ -15,7 +15,7 @@ from vouchsafe.functions.text import normalize_name
 from vouchsafe.operators import comparison as c
 from vouchsafe.operators import dashboard as db
 from vouchsafe.operators import evaluation as e
-from vouchsafe.operators.rows import rows_of
+from vouchsafe.operators.rows import once, rows_of
 from vouchsafe.plans import views
 from vouchsafe.plans.oracle_views import view
 from vouchsafe.plans.registry import query
@@ -113,16 +113,15 @@ def _scalar_outcomes() -> str:
 view("x_scalars", ("fx_docs",), _scalar_outcomes())
 
 
-@query("j5_compare_field", """
-select doc_id, path, case when path like '%quantity' or path like '%unit_price' or path like '%amount' then true
-  when path like '%vat_rate' then value <> 'without_vat' else true end as equal
-from fx_fields where value is not null and path not like '%/name'""", ("fx_fields",))
+@query("j5_compare_field", f"""
+select doc_id, path, case when value is null then false when path like '%/name' then {NAME.format(c='value')} <> ''
+  when path like '%/vat_rate' then value <> 'without_vat' else true end as equal
+from fx_fields""", ("fx_fields",))
 def _(spark, d):
-    rows = views.fields(spark, d).where("value is not null and path not like '%/name'")
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", "^/line_items/[0-9]+/", "line_items[]."), "^/", ""), "/", ".")
     other = F.when(F.col("path").rlike("(quantity|unit_price|amount)$"), F.concat("value", F.lit("0"))).otherwise(F.col("value"))
-    table_ = {p: fn for p, fn in cmp.default_comparators().items() if p not in fv.NAME_PATHS}
-    return rows.select("doc_id", "path", cmp.compare_field(path, F.col("value"), other, table_).alias("equal"))
+    rows = once(views.fields(spark, d).select("doc_id", "path", "value"), field=path, other=other)
+    return rows.select("doc_id", "path", cmp.compare_field(F.col("field"), F.col("value"), F.col("other")).alias("equal"))
 
 
 @query("j6_field_outcomes", "select * from x_scalars", ("x_scalars",))
