@@ -12,7 +12,7 @@ from vouchsafe.operators import fields as fl
 from vouchsafe.operators import validation as v
 from vouchsafe.operators.rows import rows_of
 from vouchsafe.plans import catalog, validation_queries, views
-from vouchsafe.schemas import LINE_TYPES, document_type
+from vouchsafe.schemas import LINE_TYPES, SUBTYPE_FIELDS, document_type
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -204,3 +204,29 @@ def test_field_rows_are_checked_like_lists(spark):
     lists = odd_documents(spark).select("doc_id", fl.fields_of("document").alias("fields")).cache()
     whole = v.validate_fields(lists).select("doc_id", F.array_distinct("errors").alias("errors"))
     assert by_hash(v.field_row_errors(rows_of(lists, ["doc_id"], "fields"))) == by_hash(rows_of(whole, ["doc_id"], "errors"))
+
+
+@pytest.mark.parametrize("subtypes", [False, True])
+def test_texts_written_back_as_they_are_need_no_variant(spark, monkeypatch, subtypes):
+    document = F.struct(*[F.col(f"document.{n}") for n in document_type(subtypes=subtypes).names])
+    compact = [r.t for r in odd_documents(spark).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("t")).collect()]
+    text = compact[0]
+    swaps = [('"value":"2.50"', f'"value":{x}') for x in ("2.50", "2.5", "007", "1e3", "-0", "-.5", "2.", "null", "true", '"2.50', "{}", '"\\"value\\":3,"', "2.50 ", "12345678901234567890.123456789")]
+    swaps += [('"currency":{', '"currency":null,"was":{'), ('"number":{', '"no":{'), ('"currency":{', '"number":{'), ('{"document_type"', '{"extra":1,"document_type"'), ('"page":1', '"page":"1"'),
+              ('"sources":[{', '"sources":null,"then":[{'), ('"confidence":0.9', '"confidence":"NaN"'), ('"confidence":0.9,', ""), ('"line_items":[', '"line_items":null,"more":['),
+              ('"line_items":[', '"line_items":[null,'), ('"supplier":{', '"supplier":null,"by":{'), ('"kind":"pdf_text"', '"kind":null'), ('"page":1', '"page":1,"page":1'), ('"bbox":null', '"bbox":{"x1":0.1}')]
+    odd = [text.replace(a, b, n) for a, b in swaps for n in (1, -1)] + [text + "}", text + " ", f"[{text}]", "null", "", "{}", text[1:], text.replace(":", ": ")]
+    extras = "".join(f',"{n}":null' for group in SUBTYPE_FIELDS.values() for n in group)
+    odd += [text[:-1] + extras + "}"] + [text[:-1] + extras.replace("null", '{"value":"x","confidence":1.0,"sources":' + s + "}") + "}" for s in ("[]", "null")]
+    rows = spark.createDataFrame(list(enumerate([*compact, *odd])), "doc_id long, content string").repartition(4)
+    quick = by_hash(v.parse_results(rows, subtypes=subtypes))
+    errors = {r.error for r in v.parse_results(rows, subtypes=subtypes).select("error").distinct().collect()}
+    monkeypatch.setattr(v, "_complete", lambda document, extras: F.lit(False))
+    assert quick == by_hash(v.parse_results(rows, subtypes=subtypes)) and errors == {None, "json", "schema"}
+
+
+def test_answers_of_our_own_writing_need_no_variant(spark):
+    docs = views.documents(spark, FOLDER).drop("tenant_id", "status", "created_at")
+    texts = docs.select("doc_id", F.to_json(F.struct(*docs.columns[1:]), {"ignoreNullFields": "false"}).alias("content"))
+    read = texts.withColumn("read", F.from_json("content", document_type(typed=False, subtypes=False)))
+    assert read.where(~F.coalesce(v.written_alike("content", "read", []), F.lit(False))).count() == 0
