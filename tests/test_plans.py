@@ -11,7 +11,7 @@ from vouchsafe.operators import cascade, evaluation
 from vouchsafe.operators import fields as fl
 from vouchsafe.operators import validation as v
 from vouchsafe.operators.rows import rows_of
-from vouchsafe.plans import catalog, validation_queries, views
+from vouchsafe.plans import catalog, evaluation_queries, validation_queries, views
 from vouchsafe.schemas import LINE_TYPES, SUBTYPE_FIELDS, document_type
 
 FOLDER = "/root/testdata/sf0.001"
@@ -230,3 +230,27 @@ def test_answers_of_our_own_writing_need_no_variant(spark):
     texts = docs.select("doc_id", F.to_json(F.struct(*docs.columns[1:]), {"ignoreNullFields": "false"}).alias("content"))
     read = texts.withColumn("read", F.from_json("content", document_type(typed=False, subtypes=False)))
     assert read.where(~F.coalesce(v.written_alike("content", "read", []), F.lit(False))).count() == 0
+
+
+def test_line_fields_are_compared_on_rows(spark):
+    plan = plan_of(catalog.QUERIES["j10_evaluate_documents"](spark, FOLDER))
+    assert not any("lambda" in node and "hallucination" in node for node in plan.splitlines())
+    sides = [evaluation_queries.expected(spark, FOLDER), evaluation_queries.actual(spark, FOLDER).where("sample_id % 50 > 0")]
+    matched = evaluation.match_lines(evaluation.scalar_outcomes(evaluation.pair_samples(sides[0].where("sample_id % 51 > 0"), sides[1])))
+    listed = rows_of(evaluation.line_outcomes(matched), ["sample_id"], F.concat("scalars", "line_fields"))
+    assert by_hash(evaluation.all_outcomes(matched)) == by_hash(listed)
+
+
+def test_lines_that_are_spelled_alike_are_equal(spark):
+    fields = ("name", "amount", "quantity", "unit_price", "vat_rate", "unit")
+    values = [None, "", "=", "1", "\x01", "\x00", "=\x00", "1\x00", "\x00="]
+    lines = [{"unit": u} for u in values] + [{"unit": u, n: x} for n in fields[:5] for u in values for x in ("", "1")]
+    df = spark.createDataFrame([({n: line.get(n) for n in fields},) for line in lines], f"line struct<{', '.join(f'{n}: string' for n in fields)}>")
+    assert df.select(evaluation._spelled(F.col("line"))).distinct().count() == df.distinct().count() == len(lines)
+
+
+def test_equal_lists_are_paired_in_order(spark):
+    rows = evaluation_queries.expected(spark, FOLDER)
+    found = evaluation.match_lines(evaluation.pair_samples(rows, rows), 0.0)
+    lists = [F.transform(F.col(side)["lines"], evaluation._comparable) for side in "ea"]
+    assert by_hash(found.select("sample_id", "matched")) == by_hash(found.select("sample_id", evaluation.settled_pairs(*lists).alias("matched")))
