@@ -16,6 +16,7 @@ from tests.llm import cases
 from tests.llm.cases import corpus, frame
 from vouchsafe.llm import exact_dedup, ngram_join, suffix_dedup
 from vouchsafe.llm.graph import components
+from vouchsafe.llm.tables import kept_rows
 
 
 def expected_copies(rows):
@@ -273,3 +274,24 @@ def test_longest_previous_is_the_suffix_order():
         for i in range(400):
             same = [j for j, s in start.items() if i in start and s == start[i]]
             assert earlier[i] == any(j < i for j in same) and later[i] == any(j > i for j in same)
+
+
+def test_whole_rows_move_once(spark):
+    # one exchange of the texts serves the join and the choice among repeated rows
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = docs.select("doc_id", F.xxhash64("text").alias("key")).hint("merge")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = kept_rows(docs.hint("merge"), F.xxhash64("text"), kept)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning(") == 2 and found.count() == docs.dropDuplicates(["doc_id", "text"]).count()
+
+
+def test_null_ids_equal_each_other_in_kept_rows(spark):
+    docs = spark.createDataFrame([(None, "a"), (0, "a"), (1, "a"), (None, "b"), (None, "a"), (1, "b")], "doc_id long, text string")
+    key = F.col("text")
+    found = lambda *rows: sorted(map(tuple, kept_rows(docs, key, spark.createDataFrame(rows, "doc_id long, key string")).collect()), key=str)
+    assert found((None, "a"), (1, "b")) == [(1, "b"), (None, "a")]
+    assert found((0, "a")) == [(0, "a")]

@@ -225,3 +225,17 @@ def test_licence_files_hold_for_the_query_s_directories(spark):
     assert {r.doc_id for r in heirs} == {
         r.doc_id for r in found if not r.licenses and r.path.split("/")[0] in files and not r.path.endswith("LICENSE")}
     assert heirs and all(r.license == files[str(r.doc_id // 4)] and r.inherited_from == f"{r.doc_id // 4}/LICENSE" for r in heirs)
+
+
+def test_quality_learns_from_labelled_texts_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 0), (4, 1), (5, None), (99, 1)], "doc_id long, quality int")
+    seen, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: (seen.append(self.count()), whole(self, *a, **k))[1])
+    quality.fit(docs, labels)
+    assert seen == [2]
+
+
+def test_texts_are_split_once(spark):
+    done = pii.pseudonymise(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"), "key")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("split(text#") == 1

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vouchsafe.llm.tables import lower_ascii, one_of_repeated, unused, whole_text, written
+from vouchsafe.llm.tables import kept_rows, lower_ascii, whole_text, written
 
 #: Counters of a summary. A digest with more than rows / COUNTERS rows is certain to be found.
 COUNTERS = 1024
@@ -98,10 +98,5 @@ def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     Of rows that repeat doc_id and text one stays, the one with the smallest hash of its columns.
     """
-    digest, key, kept_digest, kept_id = unused(docs, "_digest", "_key", "_kept_digest", "_kept_id")
-    kept = exact_dedup(docs, counters).where("kept").select(
-        F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_digest),
-    )
-    marked = docs.withColumns({digest: F.unhex(F.sha2(lower_ascii(whole_text("text")).cast("binary"), 256)), key: F.col("doc_id")})
-    stay = marked.join(kept, F.col(key).eqNullSafe(F.col(kept_id)) & (F.col(digest) == F.col(kept_digest)), "left_semi")
-    return one_of_repeated(stay, docs.columns, [key, digest])
+    kept = exact_dedup(docs, counters).where("kept").select("doc_id", F.unhex("text_sha256").alias("key"))
+    return kept_rows(docs, F.unhex(F.sha2(lower_ascii(whole_text("text")).cast("binary"), 256)), kept)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vouchsafe.llm.graph import components
-from vouchsafe.llm.tables import one_of_repeated, spread, unused, whole_text, written
+from vouchsafe.llm.tables import kept_rows, spread, whole_text, written
 
 #: Saturating counters of the corpus counts that make the order rare first. Any order gives right results; with
 #: fewer counters than a fraction of the n-grams, those of middling count mix with the rare ones and make lists longer.
@@ -60,7 +60,8 @@ def shingles(text: str, words: int) -> np.ndarray:
     out ^= out >> np.uint64(31)
     out *= _MIX
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]  # np.unique takes three times as long on short arrays
 
 
 def _class_of(hashes: np.ndarray) -> tuple[int, bytes]:
@@ -90,12 +91,24 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
+        fresh, waiting = [], 0
+
+        def count() -> None:
+            nonlocal waiting
+            if waiting:
+                np.add(counts, np.bincount((np.concatenate(fresh) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), out=counts, casting="unsafe")
+            fresh.clear()
+            waiting = 0
+
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             size, cls, keys, parts, outline, sketch = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingles(text, words)
-                np.add.at(counts, (found & np.uint64(BUCKETS - 1)).astype(np.int64), 1)  # distinct n-grams of a text
+                found = shingles(text, words)  # distinct n-grams of a text
+                fresh.append(found)
+                waiting += len(found)
+                if waiting > BUCKETS:
+                    count()
                 short, key = _class_of(found)
                 size.append(len(found))
                 cls.append(short)
@@ -112,6 +125,7 @@ def _sets(words: int):
                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=names)
             row += m
+        count()
         for c in range(BUCKETS // CHUNK):  # a batch each, so that no large one is held
             own = counts[c * CHUNK : (c + 1) * CHUNK]
             if own.any():
@@ -172,7 +186,7 @@ def _prefixes(words: int, num: int, den: int, counts):
                 seen.add(key)
                 prefix = n + num * n // -den + 1
                 often = times[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                order = np.lexsort((found, often))[:prefix]
+                order = np.argsort(often, kind="stable")[:prefix]  # the n-grams are sorted, so ties go by hash
                 tokens.append(found[order].view(np.int64))
                 owner.append(np.full(prefix, short, np.int64))
                 size.append(np.full(prefix, n, np.int32))
@@ -280,11 +294,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 
     Rows that repeat both doc_id and text are one row of the result, the one with the smallest hash of its columns.
     """
-    text_key, key, kept_key, kept_id = unused(docs, "_text_key", "_key", "_kept_key", "_kept_id")
-    kept = _components(docs, words, num, den).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
-    marked = docs.withColumns({text_key: F.xxhash64(whole_text("text")), key: F.col("doc_id")})
-    stay = marked.join(kept, F.col(key).eqNullSafe(F.col(kept_id)) & (F.col(text_key) == F.col(kept_key)), "left_semi")
-    return one_of_repeated(stay, docs.columns, [key, text_key])
+    kept = _components(docs, words, num, den).where("kept").select("doc_id", F.col("text_key").alias("key"))
+    return kept_rows(docs, F.xxhash64(whole_text("text")), kept)
 
 
 def _components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -390,6 +401,8 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, nu
     nodes = likely.select(F.col("a").alias("node"), F.col("adoc").alias("doc")).unionByName(
         likely.select(F.col("b").alias("node"), F.col("bdoc").alias("doc")),
     ).distinct().join(classes.select("node", "cls"), "node")
+    # a table's size is known before the join: texts stay where they are when few are asked for
+    nodes = written(nodes, "ngram-nodes")
     source = docs.select("doc_id", whole_text("text").alias("text"))
     found = source.join(nodes, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "cls", "text")
     texts = written(found.mapInArrow(_own_texts(words), "node long, text string"), "ngram-texts")

@@ -384,8 +384,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
         **{matches: F.when(hit, F.regexp_extract_all(there, F.lit(ANY), F.lit(0))).otherwise(empty)},
     )
     marked = once(found, **{marks: F.transform(matches, marked_value)})
-    between = F.split(there, ANY, -1)
-    rebuilt = F.concat(
+    # what stands between the values is cut out once, not again for each value
+    rebuilt = let(F.split(there, ANY, -1), lambda between: F.concat(
         F.element_at(between, 1),
         F.array_join(
             F.transform(marks, lambda m, i: F.concat(
@@ -393,7 +393,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: str | No
             )),
             "",
         ),
-    )
+    ))
     changed = F.when(F.exists(marks, lambda m: m["kind"].isNotNull()), rebuilt).otherwise(there)
     out = {text: changed}
     if counts:

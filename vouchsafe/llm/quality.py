@@ -110,12 +110,12 @@ class Model:
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's sums per class: row count, sums and products of the statistics."""
+    """A task's sums per class: row count, sums and products of the texts' statistics."""
     d = len(NAMES)
     total = np.zeros((2, 1 + d + d * d))
     for batch in batches:
         label = batch.column(0).to_numpy(zero_copy_only=False)
-        x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, d)
+        x = _statistics_of(batch, 1)
         for k in (0, 1):
             own = x[label == k]
             total[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -133,21 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, pooled: float = POOLED, ridge: float
     the driver has a fixed size. Without rows of one class every score is that of the other, without
     any rows 0.5.
     """
-    read = spread(docs.select("doc_id", whole_text("text").alias("text")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = _statistics_of(batch, 1)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()),
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
-
-    vectors = read.mapInArrow(run, "doc_id long, x array<double>")
     marked = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    # only texts with a label are looked at
+    learned = spread(docs.select("doc_id", whole_text("text").alias("text"))).join(marked, "doc_id").select("quality", "text")
     sums = (
-        vectors.join(marked, "doc_id").select("quality", "x")
-        .mapInArrow(_moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
+        learned.mapInArrow(_moments, "label int, at int, value double")
+        .groupBy("label", "at").agg(F.sum("value").alias("value"))
     )
     d = len(NAMES)
     total = np.zeros((2, 1 + d + d * d))

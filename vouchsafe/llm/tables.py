@@ -38,6 +38,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def kept_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``key`` are a row of ``kept`` (doc_id, key), one of those that repeat both.
+
+    A null doc_id equals another. The join goes by plain columns, and rows are grouped by the same: they move and are sorted once.
+    """
+    by = unused(docs, "_none", "_id", "_key")
+    placed = lambda df, k: df.withColumns(dict(zip(by, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), k))))
+    stay = placed(docs, key).join(placed(kept, F.col("key")).select(*by), by, "left_semi")
+    return one_of_repeated(stay, docs.columns, by)
+
+
 def one_of_repeated(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """``columns`` of one row for each key: of rows that differ elsewhere the one with the smallest hash, in every run."""
     plain = [c for c in columns if "map<" not in df.schema[c].dataType.simpleString()]
