@@ -40,7 +40,7 @@ OUTLINE, PARTS = 64, 256
 SKETCH = 512
 #: Members, drawn by hash, that what is still apart is tried against before it is paired.
 MORE_HUBS = 3
-#: Rows with both texts that are verified together.
+#: Rows of a batch whose texts are Python strings at a time.
 GROUP = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -85,30 +85,25 @@ def _parts_of(hashes: np.ndarray) -> bytes:
     return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=PARTS).astype("<u4").tobytes()
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of GROUP rows at most: of a larger one, all texts and sets would be held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            yield batch.slice(at, GROUP)
+
+
 def _sets(words: int):
     """Rows of kind 0: a document's key, size and parts. Rows of kind 1: a task's counters, in chunks."""
     names = ["kind", "row", "doc_id", "text_key", "n", "cls", "key", "parts", "outline", "sketch", "chunk", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
-        fresh, waiting = [], 0
-
-        def count() -> None:
-            nonlocal waiting
-            if waiting:
-                np.add(counts, np.bincount((np.concatenate(fresh) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), out=counts, casting="unsafe")
-            fresh.clear()
-            waiting = 0
-
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _groups(batches):
             size, cls, keys, parts, outline, sketch = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingles(text, words)  # distinct n-grams of a text
-                fresh.append(found)
-                waiting += len(found)
-                if waiting > BUCKETS:
-                    count()
+                found = shingles(text, words)
+                np.add.at(counts, (found & np.uint64(BUCKETS - 1)).astype(np.int64), 1)  # distinct n-grams of a text
                 short, key = _class_of(found)
                 size.append(len(found))
                 cls.append(short)
@@ -125,7 +120,6 @@ def _sets(words: int):
                 pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
             ], names=names)
             row += m
-        count()
         for c in range(BUCKETS // CHUNK):  # a batch each, so that no large one is held
             own = counts[c * CHUNK : (c + 1) * CHUNK]
             if own.any():
@@ -171,7 +165,7 @@ def _prefixes(words: int, num: int, den: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = counts.value
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in _groups(batches):
             tokens, owner, size, place, own = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingles(text, words)
@@ -250,7 +244,7 @@ def _own_texts(words: int):
     """Leaves out the other texts of a repeated doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _groups(batches):
             own = [_class_of(shingles(t, words))[0] == c for c, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield batch.select(["node", "text"]).filter(pa.array(own, pa.bool_()))
 
