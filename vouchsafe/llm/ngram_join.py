@@ -395,8 +395,6 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, nu
     nodes = likely.select(F.col("a").alias("node"), F.col("adoc").alias("doc")).unionByName(
         likely.select(F.col("b").alias("node"), F.col("bdoc").alias("doc")),
     ).distinct().join(classes.select("node", "cls"), "node")
-    # a table's size is known before the join: texts stay where they are when few are asked for
-    nodes = written(nodes, "ngram-nodes")
     source = docs.select("doc_id", whole_text("text").alias("text"))
     found = source.join(nodes, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "cls", "text")
     texts = written(found.mapInArrow(_own_texts(words), "node long, text string"), "ngram-texts")
